@@ -1,0 +1,16 @@
+import pytest
+
+from sparkloom.plans.queries import ORACLES, QUERIES
+from tests.oracle import assert_matches
+
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.mark.parametrize("name", sorted(ORACLES))
+def test_query_matches_sql(spark, name):
+    assert_matches(spark, QUERIES[name], ORACLES[name], SF)
+
+
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
+def test_query_without_sql_runs(spark, name):
+    assert QUERIES[name](spark, SF).count() >= 0
