@@ -7,12 +7,27 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm import quality
-from sparkloom.llm.common import documents
+from sparkloom.llm import bpe_count, packing, quality, token_store
+from sparkloom.llm.common import documents, scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
+#: Where the public vocabularies are installed; see its README.
+TOKENIZERS = "/opt/tokenizers"
+#: How the byte-level vocabulary cuts words, and its special token (fixed values).
+BYTE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+BYTE_SPECIAL_ID = 50256
+
+
+def vocabulary(name: str) -> str:
+    """Path of an installed vocabulary file."""
+    try:
+        import public_tokenizers
+    except ImportError:
+        return f"{TOKENIZERS}/{name}"
+    return public_tokenizers.path(name)
+
 
 def query(sql: str | None = None):
     """Register a function under its own name, with its DuckDB SQL if there is one."""
@@ -56,3 +71,21 @@ FROM f LEFT JOIN rates USING (host)
 """)
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(documents(spark, sf_dir)).withColumn("host_fail_rate", F.round("host_fail_rate", 6))
+
+
+@query()
+def op7_bpe_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe_count.count_tokens(documents(spark, sf_dir), vocabulary("byte_bpe_50k.json"), BYTE_PATTERN)
+
+
+@query()
+def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = packing.pieces(documents(spark, sf_dir), vocabulary("byte_bpe_50k.tiktoken"), BYTE_PATTERN, BYTE_SPECIAL_ID)
+    return packing.pack(cut)
+
+
+@query()
+def op9_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "token-store")
+    token_store.write_store(documents(spark, sf_dir), path, vocabulary("word_bpe_49k.json"))
+    return token_store.with_starts(token_store.read_store(spark, path))
