@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm import bpe_count, packing, quality, simhash, token_store
+from sparkloom.llm import bpe_count, fingerprint, packing, quality, simhash, token_store
 from sparkloom.llm.common import documents, scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -94,3 +94,8 @@ def op9_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir))
+
+
+@query()
+def op5_edit_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.edited_neighbours(documents(spark, sf_dir))
