@@ -80,14 +80,7 @@ def number_rows(df: DataFrame, group: list[str], order: list[str], name: str, pe
     starts = counts.select(*group, "_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
     within = Window.partitionBy(*group, "_b").orderBy(*order)
     numbered = cut.withColumn("_r", F.row_number().over(within) - 1)
-    keys = [*group, "_b"]
-    condition = None
-    for k in keys:
-        term = numbered[k].eqNullSafe(starts[k])
-        condition = term if condition is None else condition & term
-    return numbered.join(starts, condition, "left").select(
-        *[numbered[c] for c in df.columns], (F.col("_r") + F.col("_before")).cast("long").alias(name)
-    )
+    return join_on(numbered, starts, [*group, "_b"], "left").select(*df.columns, (F.col("_r") + F.col("_before")).cast("long").alias(name))
 
 
 def range_splits(df: DataFrame, key: str, buckets: int) -> list[int]:
@@ -100,3 +93,13 @@ def range_splits(df: DataFrame, key: str, buckets: int) -> list[int]:
     shares = [i / buckets for i in range(1, buckets)]
     row = df.agg(F.percentile_approx(key, shares, max(10_000, 20 * buckets)).alias("s")).first()
     return sorted(set(row["s"] or []))
+
+
+def join_on(left: DataFrame, right: DataFrame, keys: list[str] | tuple[str, ...], how: str = "inner") -> DataFrame:
+    """Equi-join in which null keys match each other; the keys come back once."""
+    renamed = right.select(*[F.col(k).alias(f"__{k}") if k in keys else F.col(k) for k in right.columns])
+    condition = None
+    for k in keys:
+        term = F.col(k).eqNullSafe(F.col(f"__{k}"))
+        condition = term if condition is None else condition & term
+    return left.join(renamed, condition, how).drop(*[f"__{k}" for k in keys])
