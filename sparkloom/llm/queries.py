@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm import bpe_count, fingerprint, mixing, packing, quality, sharding, simhash, token_store
+from sparkloom.llm import bpe_count, fingerprint, mixing, packing, pii, quality, sharding, simhash, token_store
 from sparkloom.llm.common import documents, scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -112,3 +112,12 @@ def op6_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.plan(documents(spark, sf_dir))
+
+
+#: Key of the surrogates in the registered queries; a real run passes its own secret.
+PII_KEY = "registered-queries"
+
+
+@query()
+def op1_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.replace(documents(spark, sf_dir), PII_KEY, counted="n_replaced")
