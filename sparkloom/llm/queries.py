@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm import bpe_count, fingerprint, mixing, packing, pii, quality, sharding, simhash, token_store
+from sparkloom.llm import bpe_count, fingerprint, lm, mixing, packing, pii, quality, sharding, simhash, token_store
 from sparkloom.llm.common import documents, scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -121,3 +121,8 @@ PII_KEY = "registered-queries"
 @query()
 def op1_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.replace(documents(spark, sf_dir), PII_KEY, counted="n_replaced")
+
+
+@query()
+def op4_context_tree_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(documents(spark, sf_dir))
