@@ -2,43 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from sparkloom.plans import kpi_queries, relational_queries, text_queries  # noqa: F401  (they register themselves)
+from sparkloom.plans.registry import ORACLES, QUERIES, query, table
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from sparkloom.operators import ranking
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    """Register a function under its own name, with its DuckDB SQL if there is one."""
-
-    def register(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return register
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-@query("""
-SELECT l_partkey, p_name, l_orderkey, l_linenumber, l_extendedprice, rank FROM (
-  SELECT l_partkey, l_orderkey, l_linenumber, l_extendedprice,
-         CAST(row_number() OVER (PARTITION BY l_partkey ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber) AS INTEGER) AS rank
-  FROM lineitem) JOIN part ON l_partkey = p_partkey
-WHERE rank <= 10
-""")
-def top_n_per_group(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = table(spark, sf_dir, "lineitem").select("l_partkey", "l_orderkey", "l_linenumber", "l_extendedprice")
-    order = [F.col("l_extendedprice").desc(), F.col("l_orderkey"), F.col("l_linenumber")]
-    top = ranking.top_n_per_group(lines, ["l_partkey"], order, 10)
-    parts = table(spark, sf_dir, "part").select("p_partkey", "p_name")
-    return top.join(parts, top.l_partkey == parts.p_partkey).select("l_partkey", "p_name", "l_orderkey", "l_linenumber", "l_extendedprice", "rank")
+__all__ = ["ORACLES", "QUERIES", "query", "table"]
