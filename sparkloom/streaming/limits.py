@@ -59,23 +59,19 @@ def limit_stream(events: DataFrame, key: str, ts: str, tiebreak: str, limit: int
     """The same over a stream, with the open window of each key as state.
 
     Within a micro-batch a key's events are taken in order of time. Returns key,
-    tiebreak, seen, allowed. A key's state goes once no window can be open any more.
+    tiebreak, seen, allowed. Two numbers stay for every key ever seen.
     """
     from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
     def step(name: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
         start, n = state.get if state.exists else (0, 0)
         rows = pd.concat(list(batches)).sort_values(["_us", tiebreak])
         seen, start, n = _walk(rows["_us"].to_numpy(), seconds * 1_000_000, start, n)
         state.update((start, n))
-        state.setTimeoutDuration(2 * seconds * 1000)
         yield pd.DataFrame({key: rows[key].to_numpy(), tiebreak: rows[tiebreak].to_numpy(), "seen": seen, "allowed": seen <= limit})
 
     kinds = dict(events.dtypes)
     timed = events.withColumn("_us", F.unix_micros(F.col(ts).cast("timestamp"))).select(key, tiebreak, "_us")
     return timed.groupBy(key).applyInPandasWithState(
-        step, f"{key} {kinds[key]}, {tiebreak} {kinds[tiebreak]}, seen long, allowed boolean", "start long, n long", "append", GroupStateTimeout.ProcessingTimeTimeout
+        step, f"{key} {kinds[key]}, {tiebreak} {kinds[tiebreak]}, seen long, allowed boolean", "start long, n long", "append", GroupStateTimeout.NoTimeout
     )
