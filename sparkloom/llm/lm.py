@@ -9,9 +9,11 @@ score is the log probability of its bytes and an end mark; from it follows its c
 length per byte. Where a longer context was never seen, the mixture ends before it.
 
 Counting runs as map-side combined sums over all training texts, and the tree is built
-by one aggregation per context length. For scoring, the nodes go into a table of fixed
-size (``SLOT_BITS``), whatever the corpus: where two nodes share a slot the one seen
-more often stays, and the other's contexts are scored by shorter ones.
+by one aggregation per context length. Codes of held-out texts take part with a count of
+0, so every code that a text has lies in the tree. Mixtures are then passed from short
+contexts to longer ones by one join per length, which leaves one log probability per
+code. The codes seen most often travel to every task; all others are joined. No node is
+left out, whatever the corpus.
 """
 
 from __future__ import annotations
@@ -30,15 +32,12 @@ from pyspark.sql import functions as F
 from sparkloom.llm.common import materialize
 
 DEPTH = 5
-SLOT_BITS = 22
 #: Texts are counted in batches of so many bytes.
 GATHER_BYTES = 8_000_000
 #: Words that travel to every task; all others are joined. A word is at most so long.
 HOT_WORDS, HOT_WORD_BYTES = 1 << 16, 64
-#: Slots of the codes whose scores a worker keeps, and codes looked up there at a time.
-KNOWN_BITS, PIECE = 21, 1 << 18
-#: Codes are scored so many at a time, few enough for the processor's cache.
-STRIP = 1 << 15
+#: Codes that travel to every task, at most; slots to find them by, and codes looked up at a time.
+HOT_CODES, SLOT_BITS, PIECE = 1 << 21, 22, 1 << 18
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -82,15 +81,23 @@ def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[list[bytes]]:
         yield texts
 
 
-def context_counts(train: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """code (context and byte, packed) and n over all texts."""
+def _coded(train: DataFrame, depth: int) -> DataFrame:
+    """code (context and byte, packed) and n, several times over."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for texts in _gathered(batches):
             codes, n = np.unique(codes_of(texts, depth), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(codes.astype(np.int64)), pa.array(n.astype(np.int64))], names=["code", "n"])
 
-    return train.select("text").mapInArrow(work, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
+    return train.select("text").mapInArrow(work, "code long, n long")
+
+
+def context_counts(train: DataFrame, depth: int = DEPTH, apart: DataFrame | None = None) -> DataFrame:
+    """code and n over all texts of ``train``; codes that only ``apart`` has come with 0."""
+    coded = _coded(train, depth)
+    if apart is not None:
+        coded = coded.unionByName(_coded(apart, depth).withColumn("n", F.lit(0).cast("long")))
+    return coded.groupBy("code").agg(F.sum("n").alias("n"))
 
 
 def word_counts(train: DataFrame) -> DataFrame:
@@ -118,13 +125,14 @@ def _log_gamma(x: Column) -> Column:
 
 def _evidence() -> Column:
     """Log probability of a node's bits under the Krichevsky-Trofimov estimate."""
-    return _log_gamma(F.col("n0") + 0.5) + _log_gamma(F.col("n1") + 0.5) - _log_gamma(F.col("n0") + F.col("n1") + 1.0) - math.log(math.pi)
+    e = _log_gamma(F.col("n0") + 0.5) + _log_gamma(F.col("n1") + 0.5) - _log_gamma(F.col("n0") + F.col("n1") + 1.0) - math.log(math.pi)
+    return F.when(F.col("n0") + F.col("n1") == 0, F.lit(0.0)).otherwise(e)
 
 
-def tree(counts: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """All nodes: node (context length, context and bits so far, packed), n, p1, stop.
+def _levels(counts: DataFrame, depth: int) -> list[DataFrame]:
+    """Nodes by context length, longest first: context, prefix, n0, n1, mixed, stop.
 
-    ``p1`` is the estimate for a 1, ``stop`` the weight of stopping at this node.
+    The longest also have the lowest and highest bit that follows, counted or not.
     """
     bits = counts.select("code", "n", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("b"))
     deep = bits.select(
@@ -133,7 +141,7 @@ def tree(counts: DataFrame, depth: int = DEPTH) -> DataFrame:
         F.expr("shiftright(code, 7 - b) & 1").alias("bit"), "n",
     )
     level = materialize(
-        deep.groupBy("context", "prefix").agg(F.sum(F.when(F.col("bit") == 0, F.col("n")).otherwise(0)).alias("n0"), F.sum(F.when(F.col("bit") == 1, F.col("n")).otherwise(0)).alias("n1"))
+        deep.groupBy("context", "prefix").agg(F.sum(F.when(F.col("bit") == 0, F.col("n")).otherwise(0)).alias("n0"), F.sum(F.when(F.col("bit") == 1, F.col("n")).otherwise(0)).alias("n1"), F.min("bit").alias("low"), F.max("bit").alias("high"))
         .withColumn("mixed", _evidence()).withColumn("stop", F.lit(1.0)),
         "ctw-nodes",
     )
@@ -146,12 +154,20 @@ def tree(counts: DataFrame, depth: int = DEPTH) -> DataFrame:
         mixed = here.withColumn("mixed", math.log(0.5) + high + F.ln(F.exp(F.col("e") - high) + F.exp(F.col("below") - high)))
         level = materialize(mixed.withColumn("stop", F.exp(math.log(0.5) + F.col("e") - F.col("mixed"))).select("context", "prefix", "n0", "n1", "mixed", "stop"), "ctw-nodes")
         levels.append(level)
+    return levels
+
+
+def tree(counts: DataFrame, depth: int = DEPTH) -> DataFrame:
+    """All nodes: node (context length, context and bits so far, packed), n, p1, stop.
+
+    ``p1`` is the estimate for a 1, ``stop`` the weight of stopping at this node.
+    """
     packed = [
         level.select(
             (F.lit((depth - i) << 56) + F.shiftleft("context", 8) + F.col("prefix")).cast("long").alias("node"), (F.col("n0") + F.col("n1")).alias("n"),
             ((F.col("n1") + 0.5) / (F.col("n0") + F.col("n1") + 1.0)).alias("p1"), "stop",
         )
-        for i, level in enumerate(levels)
+        for i, level in enumerate(_levels(counts, depth))
     ]
     nodes = packed[0]
     for p in packed[1:]:
@@ -159,92 +175,142 @@ def tree(counts: DataFrame, depth: int = DEPTH) -> DataFrame:
     return nodes
 
 
-def _slot(nodes: np.ndarray) -> np.ndarray:
-    return ((nodes.astype(np.uint64) * _ODD) >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
-
+def code_logs(counts: DataFrame, depth: int = DEPTH) -> DataFrame:
+    """code, n and log10 (log10 probability of the code's byte after its context) for every code.
 
-@dataclass
-class Table:
-    """Nodes of a tree by slot: at most 2**SLOT_BITS, 16 bytes each, side by side.
-
-    A cell is a node, then two 32-bit floats: its estimate for a 1 (or, where that is
-    above one half, its estimate for a 0 with a minus sign, so that neither rounds to
-    zero) and the weight of stopping there.
+    From the root down, ``above`` is what shorter contexts add to the estimate for a 1
+    and ``rest`` the weight they leave; ``q`` is the mixture that ends at the node. A
+    node without counts has the mixture of the longest context that was counted.
     """
+    n0, n1 = F.col("n0"), F.col("n1")
+    p1 = (n1 + 0.5) / (n0 + n1 + 1.0)
+    down = None
+    for d, level in enumerate(reversed(_levels(counts, depth))):
+        if down is None:
+            here = level.withColumn("above", F.lit(0.0)).withColumn("rest", F.lit(1.0)).withColumn("q", F.lit(0.5))
+        else:
+            here = level.withColumn("_shorter", F.col("context").bitwiseAND((1 << (8 * (d - 1))) - 1)).join(down, ["_shorter", "prefix"])
+        here = here.withColumn("q", F.when(n0 + n1 > 0, F.col("above") + F.col("rest") * p1).otherwise(F.col("q")))
+        down = here.select(
+            F.col("context").alias("_shorter"), "prefix", "q", (F.col("above") + F.col("rest") * F.col("stop") * p1).alias("above"),
+            (F.col("rest") * (1 - F.least("stop", F.lit(1.0)))).alias("rest"),
+        )
 
-    depth: int
-    cells: np.ndarray
-    known: np.ndarray | None = None
-
-    def scores(self, texts: list[bytes]) -> np.ndarray:
-        """log10 probability of each text. A worker keeps the scores of codes met before, also across its tasks."""
-        if self.known is None:
-            self.known = np.full((1 << KNOWN_BITS, 2), -1, np.int64)
-        codes = codes_of(texts, self.depth).astype(np.int64)
-        logs = np.empty(len(codes))
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(7)]
+            if held is not None:
+                rows = [np.concatenate(pair) for pair in zip(held, rows, strict=True)]
+            # The last context may go on in the next batch.
+            cut = int(np.searchsorted(rows[0], rows[0][-1]))
+            held = [x[cut:] for x in rows]
+            if cut:
+                yield _leaves(*[x[:cut] for x in rows])
+        if held is not None:
+            yield _leaves(*held)
+
+    deep = here.select("context", F.col("prefix").cast("long").alias("prefix"), "q", "n0", "n1", "low", "high")
+    return deep.repartition("context").sortWithinPartitions("context", "prefix").mapInArrow(work, "code long, n long, log10 double")
+
+
+def _leaves(context: np.ndarray, prefix: np.ndarray, q: np.ndarray, n0: np.ndarray, n1: np.ndarray, low: np.ndarray, high: np.ndarray) -> pa.RecordBatch:
+    """Codes of whole contexts, whose nodes come in order: the eight decisions of each byte multiplied."""
+    key = (context << 8) + prefix
+    ones, zeros, before = np.log10(q), np.log10(1 - q), np.zeros(len(key))
+    for b in range(1, 8):
+        at = np.flatnonzero(prefix >> b == 1)
+        parent = np.searchsorted(key, (context[at] << 8) + (prefix[at] >> 1))
+        before[at] = before[parent] + np.where(prefix[at] & 1, ones[parent], zeros[parent])
+    last = prefix >= 128
+    a, b = np.flatnonzero(last & (low == 0)), np.flatnonzero(last & (high == 1))
+    first = (context << 8) + 2 * prefix - 256
+    columns = (np.concatenate(x) for x in ((first[a], first[b] + 1), (n0[a], n1[b]), (before[a] + zeros[a], before[b] + ones[b])))
+    return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["code", "n", "log10"])
+
+
+def _hash(codes: np.ndarray) -> np.ndarray:
+    return ((codes.astype(np.uint64) * _ODD) >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+
+
+class Hot:
+    """log10 probabilities by code: one code in each slot, those without a slot in order beside."""
+
+    def __init__(self, codes: np.ndarray, logs: np.ndarray) -> None:
+        self.cells = np.full((1 << SLOT_BITS, 2), -1, np.int64)
+        slot = _hash(codes)
+        self.cells[slot, 0] = codes
+        # Of codes with one slot, numpy leaves any one; only that one's logarithm may follow.
+        placed = self.cells[slot, 0] == codes
+        self.cells.view(np.float64)[slot[placed], 1] = logs[placed]
+        order = np.argsort(codes[~placed])
+        self.codes, self.logs = codes[~placed][order], logs[~placed][order]
+
+    def look(self, codes: np.ndarray) -> np.ndarray:
+        """Logarithms of codes; NaN for those that are not here."""
+        out = np.empty(len(codes))
         for at in range(0, len(codes), PIECE):
-            part, out = codes[at : at + PIECE], logs[at : at + PIECE]
-            slot = ((part.astype(np.uint64) * _ODD) >> np.uint64(64 - KNOWN_BITS)).astype(np.int64)
-            cells = self.known.take(slot, axis=0)
-            out[:] = cells.view(np.float64)[:, 1]
+            part = codes[at : at + PIECE]
+            cells = self.cells.take(_hash(part), axis=0)
+            found = cells.view(np.float64)[:, 1]
             missed = np.flatnonzero(cells[:, 0] != part)
             if len(missed):
-                fresh, which = np.unique(part[missed], return_inverse=True)
-                found = self.log10(fresh)
-                out[missed] = found[which]
-                slot = ((fresh.astype(np.uint64) * _ODD) >> np.uint64(64 - KNOWN_BITS)).astype(np.int64)
-                # Of codes with one slot the last stays; both columns must tell of the same one.
-                slot, last = np.unique(slot[::-1], return_index=True)
-                last = len(fresh) - 1 - last
-                self.known[slot, 0] = fresh[last]
-                self.known.view(np.float64)[slot, 1] = found[last]
-        ends = np.cumsum([len(t) + 1 for t in texts])
-        return np.add.reduceat(logs, np.concatenate([[0], ends[:-1]]).astype(np.int64))
+                found[missed] = np.nan
+                if len(self.codes):
+                    place = np.minimum(np.searchsorted(self.codes, part[missed]), len(self.codes) - 1)
+                    here = self.codes[place] == part[missed]
+                    found[missed[here]] = self.logs[place[here]]
+            out[at : at + PIECE] = found
+        return out
+
+
+def hot_codes(logs: DataFrame) -> Hot:
+    """The codes seen most often, at most ``HOT_CODES``: all above a count that leaves no more."""
+    grade = F.floor(F.log2(F.col("n") + 1) * 16)
+    sizes = logs.groupBy(grade.alias("grade")).count().orderBy(F.desc("grade")).collect()  # a thousand at most
+    total, least = 0, None
+    for r in sizes:
+        total += r["count"]
+        if total > HOT_CODES:
+            break
+        least = r["grade"]
+    rows = logs.filter(grade >= least if least is not None else F.lit(False)).select("code", "log10").toArrow()
+    return Hot(rows.column("code").to_numpy(), rows.column("log10").to_numpy())
+
+
+@dataclass
+class Table:
+    """Nodes of a small tree in order, to look at it in one process."""
+
+    depth: int
+    nodes: np.ndarray
+    p1: np.ndarray
+    stop: np.ndarray
 
     def log10(self, codes: np.ndarray) -> np.ndarray:
         """log10 probability of each code's byte after its context."""
-        out = np.empty(len(codes))
-        for at in range(0, len(codes), STRIP):
-            out[at : at + STRIP] = self._strip(codes[at : at + STRIP].astype(np.int64))
-        return out
-
-    def _strip(self, codes: np.ndarray) -> np.ndarray:
+        codes = codes.astype(np.int64)
         context, byte = codes >> 8, codes & 255
-        contexts = [(d << 56) + ((context & ((1 << (8 * d)) - 1)) << 8) for d in range(self.depth + 1)]
         total = np.ones(len(codes))
         for b in range(8):
             prefix, bit = (1 << b) + (byte >> (8 - b)), byte >> (7 - b) & 1
             p, seen = np.full(len(codes), 0.5), np.zeros(len(codes), bool)
             for d in range(self.depth, -1, -1):
-                node = contexts[d] + prefix
-                cells = self.cells.take(_slot(node), axis=0)
-                here = cells[:, 0] == node
-                pair = cells.view(np.float32)
-                p1 = pair[:, 2].astype(np.float64)
-                p1[p1 < 0] += 1
-                p += here * np.where(seen, pair[:, 3], 1.0) * (p1 - p)
+                node = (d << 56) + ((context & ((1 << (8 * d)) - 1)) << 8) + prefix
+                at = np.minimum(np.searchsorted(self.nodes, node), len(self.nodes) - 1)
+                here = self.nodes[at] == node
+                p += here * np.where(seen, self.stop[at], 1.0) * (self.p1[at] - p)
                 seen |= here
             total *= np.where(bit == 1, p, 1 - p)
         return np.log10(total)
 
 
 def table(nodes: DataFrame, depth: int = DEPTH) -> Table:
-    """The scoring table; at most one row per slot comes to the driver."""
-
-    @F.pandas_udf("long")
-    def slot(node: pd.Series) -> pd.Series:
-        return pd.Series(_slot(node.to_numpy()))
-
-    best = nodes.withColumn("slot", slot("node")).groupBy("slot").agg(F.max_by(F.struct("node", "p1", "stop"), F.struct("n", "node")).alias("b"))
-    near = F.when(F.col("b.p1") > 0.5, F.col("b.p1") - 1).otherwise(F.col("b.p1"))
-    rows = best.select("slot", "b.node", near.cast("float").alias("near"), F.col("b.stop").cast("float").alias("stop")).toArrow()
-    cells = np.full((1 << SLOT_BITS, 2), -1, np.int64)
-    at = rows.column("slot").to_numpy()
-    cells[at, 0] = rows.column("node").to_numpy()
-    cells.view(np.float32)[:, 2:] = 0
-    cells.view(np.float32)[at, 2] = rows.column("near").to_numpy()
-    cells.view(np.float32)[at, 3] = rows.column("stop").to_numpy()
-    return Table(depth, cells)
+    """All nodes of a small tree, brought to the driver."""
+    rows = nodes.select("node", "p1", "stop").orderBy("node").toArrow()
+    return Table(depth, *[rows.column(c).to_numpy() for c in ("node", "p1", "stop")])
 
 
 def score(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
@@ -262,33 +328,42 @@ def score(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
     sums = vocabulary.agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).first()
     total, kinds = sums["n"] or 0, sums["v"]
     hot_rows = vocabulary.filter(F.length("word") <= HOT_WORD_BYTES).orderBy(F.desc("c"), "word").limit(HOT_WORDS).collect()
-    model = spark.sparkContext.broadcast(table(tree(materialize(context_counts(train, depth), "lm-contexts"), depth), depth))
+    logs_of_codes = materialize(code_logs(materialize(context_counts(train, depth, rows.filter("held_out")), "lm-contexts"), depth), "lm-codes")
+    model = spark.sparkContext.broadcast(hot_codes(logs_of_codes))
     hot = spark.sparkContext.broadcast({bytes(r["word"]): math.log10(r["c"] + 1) for r in hot_rows})
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        tree_table, logs = model.value, hot.value
+        known_codes, logs = model.value, hot.value
         row = TaskContext.get().partitionId() << 40
 
         def flush(held: list[tuple]) -> pa.RecordBatch:
             nonlocal row
             texts = [t for _, _, t in held]
             out = ([], [], [], [], [], [], [], [], [])
-            for (key, apart, text), s in zip(held, tree_table.scores(texts).tolist(), strict=True):
+            codes = codes_of(texts, depth).astype(np.int64)
+            found = known_codes.look(codes)
+            missed = np.flatnonzero(np.isnan(found))
+            found[missed] = 0
+            ends = np.cumsum([len(t) + 1 for t in texts])
+            sums = np.add.reduceat(found, np.concatenate([[0], ends[:-1]]).astype(np.int64))
+            # Codes left to the join, text by text.
+            rare_codes = pa.ListArray.from_arrays(pa.array(np.searchsorted(missed, np.concatenate([[0], ends])).astype(np.int32)), pa.array(codes[missed]))
+            for (key, apart, text), s in zip(held, sums.tolist(), strict=True):
                 words = Counter(text.split())
                 words[b""] = 1
                 known = [(n, logs[w]) for w, n in words.items() if w in logs]
                 rare = [(w, n) for w, n in words.items() if w not in logs]
                 values = (
                     row, key, apart, sum(words.values()), sum(n for n, _ in known), math.fsum(n * x for n, x in known), s,
-                    -s / math.log10(2) / (len(text) + 1), [{"word": w, "n": n} for w, n in rare],
+                    len(text) + 1, [{"word": w, "n": n} for w, n in rare],
                 )
                 for column, value in zip(out, values, strict=True):
                     column.append(value)
                 row += 1
-            types = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int64())]))]
-            return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out, types, strict=True)], names=names)
+            types = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64(), pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int64())]))]
+            return pa.RecordBatch.from_arrays([*(pa.array(v, t) for v, t in zip(out, types, strict=True)), rare_codes], names=names)
 
         held, size = [], 0
         for batch in batches:
@@ -301,14 +376,17 @@ def score(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
         if held:
             yield flush(held)
 
-    names = ["row", "doc_id", "held_out", "n_tokens", "known", "part", "score", "bits_per_byte", "rare"]
-    schema = "row long, doc_id long, held_out boolean, n_tokens long, known long, part double, score double, bits_per_byte double, rare array<struct<word:binary,n:long>>"
+    names = ["row", "doc_id", "held_out", "n_tokens", "known", "part", "score", "n_codes", "rare", "rare_codes"]
+    schema = "row long, doc_id long, held_out boolean, n_tokens long, known long, part double, score double, n_codes long, rare array<struct<word:binary,n:long>>, rare_codes array<long>"
     scored = materialize(rows.mapInArrow(work, schema), "lm-scored")
     rare = scored.select("row", F.explode("rare").alias("r")).select("row", "r.word", "r.n")
     # Words never seen in training add nothing, so an inner join is enough.
     joined = rare.join(vocabulary, "word").groupBy("row").agg(F.sum("n").alias("more_known"), F.sum(F.col("n") * F.log10(F.col("c") + 1)).alias("more"))
     base = F.col("part") + F.coalesce("more", F.lit(0.0)) - F.col("n_tokens") * math.log10(total + kinds + 1)
-    return scored.drop("rare").join(joined, "row", "left").select(
+    coded = scored.select("row", F.explode("rare_codes").alias("code")).groupBy("row", "code").count()
+    more_score = coded.join(logs_of_codes, "code").groupBy("row").agg(F.sum(F.col("count") * F.col("log10")).alias("more_score"))
+    score = F.col("score") + F.coalesce("more_score", F.lit(0.0))
+    return scored.drop("rare", "rare_codes").join(joined, "row", "left").join(more_score, "row", "left").select(
         "doc_id", "held_out", "n_tokens", (F.col("known") + F.coalesce("more_known", F.lit(0))).cast("long").alias("n_known"),
-        F.lit(total).cast("long").alias("train_tokens"), base.alias("base_score"), "score", "bits_per_byte",
+        F.lit(total).cast("long").alias("train_tokens"), base.alias("base_score"), score.alias("score"), (-score / math.log10(2) / F.col("n_codes")).alias("bits_per_byte"),
     )

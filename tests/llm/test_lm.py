@@ -120,3 +120,17 @@ def test_probabilities_add_up(spark):
     for context in (b"\0\0", b"he", b"zz", b"lo"):
         codes = np.array([int.from_bytes(context + bytes([b]), "big") for b in range(256)], np.uint64)
         assert (10 ** model.log10(codes)).sum() == pytest.approx(1.0, rel=1e-6)
+
+
+@pytest.mark.parametrize("hot", [None, 0, 3000])
+def test_scores_use_every_node(spark, monkeypatch, hot):
+    """Hundreds of thousands of nodes, more than a table with slots keeps; with few codes that travel, the others are joined."""
+    if hot is not None:
+        monkeypatch.setattr(lm, "HOT_CODES", hot)
+    df = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").selectExpr("doc_id", "substr(text, 1, 1500) as text").limit(80)
+    rows = [(r["doc_id"], r["text"]) for r in df.collect()]
+    got = {r["doc_id"]: r for r in lm.score(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len(got) == len(rows)
+    for r in plain(rows, lm.DEPTH):
+        assert got[r[0]]["score"] == pytest.approx(r[6], rel=1e-7, abs=1e-7)
+        assert got[r[0]]["held_out"] == (zlib.crc32(str(r[0]).encode()) % 7 == 2)
