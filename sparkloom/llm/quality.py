@@ -92,7 +92,8 @@ def host_rates(judged: DataFrame) -> DataFrame:
 
     ``judged`` has ``_host`` and the boolean ``_failed``. The prior's mean is the
     corpus rate; its strength follows from how much more the hosts' rates differ
-    than chance would make them. If they differ no more, every host gets the mean.
+    than chance would make them. If they differ no more, every host gets the mean; if
+    they differ as much as rates can, or more, the strength is 0 and each host keeps its own.
     """
     hosts = materialize(
         judged.filter(F.col("_host").isNotNull()).groupBy("_host").agg(F.count(F.lit(1)).alias("host_docs"), F.sum(F.col("_failed").cast("long")).alias("host_failures")),
@@ -106,7 +107,7 @@ def host_rates(judged: DataFrame) -> DataFrame:
     fitted = (
         sums.withColumn("p", mean)
         .withColumn("v", F.when(F.col("n") > F.col("nn") / F.col("n"), spread))
-        .withColumn("m", F.when((F.col("v") > 0) & (chance > F.col("v")), chance / F.col("v") - 1))
+        .withColumn("m", F.when(F.col("v") > 0, F.greatest(chance / F.col("v") - 1, F.lit(0.0))))
     )
     # One row with two numbers, whatever the number of hosts.
     prior = fitted.select("p", "m").first()
