@@ -102,3 +102,25 @@ def test_odd_rows(spark):
     found = [r["text"] for r in got.collect() if r["text"]]
     assert len({x.split()[-1] for x in found}) == 1 and len(found) == 3
     assert pii.replace(df.limit(0), "k").count() == 0
+
+
+def test_no_tail_survives(spark):
+    """Whatever its length and punctuation, a mention goes as a whole."""
+    long = "Qx7" * 400
+    texts = [
+        "token=eyJhbGciOiJIUzI1NiJ9.eyJzdWIiOiIxMjM0In0.SflKxwRJ_Sst-w5c== end.", f"api_key={long} end.", "password: correct!horse$battery9. end.",
+        "Mr John Paul George Smith left", "Mrs Anna " + "Wolfeschlegel" * 5 + " Berg left", "write bob@" + "sub." * 12 + "mail.corp.org. end.",
+    ]
+    secret = ["eyJ SflK Sst w5c", "Qx7Qx7", "correct horse battery", "John Paul George Smith", "Anna schlegel Berg", "bob sub mail corp"]
+    out = run(spark, texts)
+    for old, new, words in zip(texts, out, secret, strict=True):
+        assert not any(w in new for w in words.split()), new
+        assert new.split()[-1] == old.split()[-1] and new.split()[0][:4] == old.split()[0][:4]
+    assert len(out[1]) == len(texts[1]) and out[2].startswith("password: ") and out[2].endswith(". end.") and out[5].endswith(".example.org. end.")
+
+
+def test_long_mentions_end(spark):
+    """Neither stack nor time grows beyond the length."""
+    texts = ["token=" + "a1." * 100_000 + "z", "a@" + "b." * 100_000 + "org", "Mr" + " Abc" * 50_000]
+    out = run(spark, texts)
+    assert all(a != b for a, b in zip(texts, out, strict=True)) and "Abc" not in out[2].split()
