@@ -4,7 +4,8 @@ Only the histogram of piece lengths decides how lengths combine, and it has at m
 ``capacity`` entries whatever the corpus. The plan therefore is made from those counts
 in one place: a sequence's gap is filled exactly by one, two or three lengths still
 available, as often as their counts allow; what no exact sum completes goes by best
-fit. Pieces then look up their place by their number among the pieces of their length.
+fit, which also takes the last of the exact fills back where they leave it short of
+small pieces. Pieces then look up their place by their number among the pieces of their length.
 """
 
 from __future__ import annotations
@@ -21,72 +22,86 @@ from sparkloom.llm.common import materialize, number_rows
 from sparkloom.llm.tokens import byte_level
 
 Pattern = tuple[tuple[int, ...], int]
+#: Places at which the list of exact fills may end for best fit to take over.
+ENDS = 32
 
 
-def _exact(counts: np.ndarray, first: int, gap: int, most: int) -> tuple[int, ...] | None:
-    """Up to ``most`` (three) available lengths that sum to ``gap``, beside one of ``first``."""
-    left = counts.copy()
-    left[first] -= 1
-    if left[gap] > 0:
-        return (gap,)
-    if most < 2:
-        return None
-    has = left[: gap + 1] > 0
-    has[0] = False
-
-    def pair(total: int, spare: np.ndarray) -> tuple[int, int] | None:
-        a = np.arange(total // 2, 0, -1)
-        b = total - a
-        fits = has[a] & has[b] & ((a != b) | (spare[a] > 1))
-        k = np.flatnonzero(fits)
-        return (int(b[k[-1]]), int(a[k[-1]])) if len(k) else None
-
-    if (found := pair(gap, left)) or most < 3:
-        return found
-    for c in np.flatnonzero(has)[::-1]:
-        if 3 * c < gap:
-            break  # the largest of three is at least a third
-        left[c] -= 1
-        was, has[c] = has[c], left[c] > 0
-        found = pair(gap - int(c), left) if gap > c else None
-        left[c] += 1
-        has[c] = was
-        if found:
-            return (int(c), *found)
-    return None
+class _Sums:
+    """Exact complements of a gap: an index of the pair sums of the lengths there are.
 
+    ``left`` is shared with the plan. Counts only fall, so a pair or triple that could not
+    be served once is never looked at again. Pairs of like lengths come first: they leave
+    the short pieces, which fill small gaps, for later.
+    """
 
-def plan(counts: dict[int, int], capacity: int) -> list[Pattern]:
-    """Patterns of lengths and how many sequences follow each, in as few as found.
+    def __init__(self, left: np.ndarray) -> None:
+        self.left, kinds = left, np.flatnonzero(left)
+        i, j = np.triu_indices(len(kinds))
+        small, sums = kinds[i], kinds[i] + kinds[j]
+        fits = sums < len(left)
+        order = np.lexsort((-small[fits], sums[fits]))
+        self.small = small[fits][order]
+        at = np.searchsorted(sums[fits][order], np.arange(len(left) + 1))
+        self.next, self.end = at[:-1].copy(), at[1:]
+        self.kinds, self.largest = kinds[::-1], np.zeros(len(left), np.int64)
+
+    def one(self, gap: int) -> tuple[int, ...] | None:
+        return (gap,) if gap > 0 and self.left[gap] > 0 else None
+
+    def two(self, total: int) -> tuple[int, ...] | None:
+        while self.next[total] < self.end[total]:
+            small = int(self.small[self.next[total]])
+            large = total - small
+            if self.left[small] > (small == large) and self.left[large] > 0:
+                return large, small
+            self.next[total] += 1
+        return None
 
-    Exact sums of up to three, two or one lengths, or none, come before best fit: on
-    few pieces, long sums can use up the short ones that best fit would want. The plan
-    with the fewest sequences is taken; ties go to the one with the longest sums.
-    """
-    return min((_plan(counts, capacity, most) for most in (3, 2, 1, 0)), key=lambda p: sum(times for _, times in p))
+    def three(self, total: int) -> tuple[int, ...] | None:
+        while self.largest[total] < len(self.kinds):
+            large = int(self.kinds[self.largest[total]])
+            if self.left[large] > 0 and large < total:
+                # With one piece of it set aside; the pair's place in the index must not move for that.
+                place = self.next[total - large]
+                self.left[large] -= 1
+                rest = self.two(total - large)
+                self.left[large] += 1
+                self.next[total - large] = place
+                if rest:
+                    return large, *rest
+            self.largest[total] += 1
+        return None
 
 
-def _plan(counts: dict[int, int], capacity: int, most: int) -> list[Pattern]:
-    """Every step uses up at least one length or fixes one kind of remainder, so the
-    number of patterns is bounded by the capacity, not by the corpus.
-    """
-    left = np.zeros(capacity + 1, np.int64)
-    for length, n in counts.items():
-        left[length] = n
-    patterns: list[Pattern] = []
+def _take(left: np.ndarray, lengths: tuple[int, ...]) -> Pattern:
+    """The lengths as one sequence, as often as the counts allow."""
+    kinds, need = np.unique(lengths, return_counts=True)
+    times = int((left[kinds] // need).min())
+    left[kinds] -= need * times
+    return lengths, times
+
+
+def exact_fills(left: np.ndarray) -> list[Pattern]:
+    """Sequences without a gap, taken from ``left``: with one other piece for all lengths
+    first, then with two, then with three, so that long sums don't use up short pieces."""
+    capacity = len(left) - 1
+    patterns = [_take(left, (capacity,))] if left[capacity] else []
+    for parts in ("one", "two", "three"):
+        complement = getattr(_Sums(left), parts)
+        for length in range(capacity - 1, 0, -1):
+            while left[length]:
+                left[length] -= 1
+                fill = complement(capacity - length)
+                left[length] += 1
+                if fill is None:
+                    break
+                patterns.append(_take(left, (length, *fill)))
+    return patterns
 
-    def take(lengths: tuple[int, ...]) -> None:
-        kinds, need = np.unique(lengths, return_counts=True)
-        times = int((left[kinds] // need).min())
-        left[kinds] -= need * times
-        patterns.append((lengths, times))
 
-    for length in range(capacity, 0, -1):
-        while left[length]:
-            fill = () if length == capacity else _exact(left, length, capacity - length, most) if most else None
-            if fill is None:
-                break
-            take((length, *fill))
+def best_fit(left: np.ndarray) -> list[Pattern]:
+    """Longest piece first, the longest that fits beside it, until ``left`` is empty."""
+    capacity, patterns = len(left) - 1, []
     for length in range(capacity, 0, -1):
         while left[length]:
             chosen, gap, rest = [length], capacity - length, left.copy()
@@ -97,10 +112,33 @@ def _plan(counts: dict[int, int], capacity: int, most: int) -> list[Pattern]:
                 chosen += [best] * n
                 gap -= best * n
                 rest[best] -= n
-            take(tuple(chosen))
+            patterns.append(_take(left, tuple(chosen)))
     return patterns
 
 
+def plan(counts: dict[int, int], capacity: int) -> list[Pattern]:
+    """Patterns of lengths and how many sequences follow each.
+
+    The exact fills, as many of them in order as leave best fit so many short pieces that
+    the whole needs no more sequences than best fit alone would; then best fit. Every
+    pattern uses up at least one length, so their number is bounded by the capacity and
+    not by the corpus.
+    """
+    whole = np.zeros(capacity + 1, np.int64)
+    for length, n in counts.items():
+        whole[length] = n
+    exact, size = exact_fills(whole.copy()), lambda patterns: sum(times for _, times in patterns)
+    most = size(best_fit(whole.copy()))
+    for end in sorted({len(exact) * i // ENDS for i in range(ENDS + 1)}, reverse=True):
+        left = whole.copy()
+        for lengths, times in exact[:end]:
+            np.subtract.at(left, list(lengths), times)
+        found = exact[:end] + best_fit(left)
+        if size(found) <= most:
+            return found
+    raise AssertionError("best fit alone needs no more sequences than itself")
+
+
 def slots(patterns: list[Pattern]) -> list[tuple[int, int, int, int, int]]:
     """Rows (length, first, last, sequence, offset): pieces of a length numbered
     ``first`` to ``last`` go to consecutive sequences from ``sequence`` at ``offset``."""
@@ -117,21 +155,21 @@ def slots(patterns: list[Pattern]) -> list[tuple[int, int, int, int, int]]:
     return rows
 
 
-def pieces(docs: DataFrame, ranks: str, pattern: str, special_id: int, end_id: int = 2, capacity: int = 1024, keep_ids: bool = False) -> DataFrame:
+def pieces(docs: DataFrame, vocabulary: str, end_id: int = 2, capacity: int = 1024, keep_ids: bool = False) -> DataFrame:
     """Token pieces of every document: doc_id, piece, start, length, ids_crc32 (and ids).
 
-    A document's ids end with ``end_id``; a null or empty text is that id alone. Only
-    documents of more than ``capacity`` ids are cut: the first piece takes the rest, the
-    others are full.
+    A document's ids, by the byte-level ``vocabulary``, end with ``end_id``; a null or
+    empty text is that id alone. Texts are read whole, however long. Only documents of
+    more than ``capacity`` ids are cut: the first piece takes the rest, the others are full.
     """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = byte_level(ranks, pattern, special_id).encode
+        encode = byte_level(vocabulary).encode
         end = np.array([end_id], "<u4")
         for batch in batches:
             keys, out = batch.column(0), ([], [], [], [], [], [])
             for row, text in enumerate(batch.column(1)):
-                ids = np.concatenate([encode(text.as_py()), end])
+                ids = np.concatenate([np.frombuffer(encode(text.as_py()), np.uint16).astype("<u4"), end])
                 n, data, at = len(ids), ids.tobytes(), 0
                 piece = 0
                 while at < n:

@@ -15,9 +15,8 @@ ORACLES: dict[str, str] = {}
 
 #: Where the public vocabularies are installed; see its README.
 TOKENIZERS = "/opt/tokenizers"
-#: How the byte-level vocabulary cuts words, and its special token (fixed values).
+#: How the byte-level vocabulary cuts words (fixed value).
 BYTE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-BYTE_SPECIAL_ID = 50256
 
 
 def vocabulary(name: str) -> str:
@@ -80,8 +79,7 @@ def op7_bpe_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cut = packing.pieces(documents(spark, sf_dir), vocabulary("byte_bpe_50k.tiktoken"), BYTE_PATTERN, BYTE_SPECIAL_ID)
-    return packing.pack(cut)
+    return packing.pack(packing.pieces(documents(spark, sf_dir), vocabulary("byte_bpe_50k.json")))
 
 
 @query()

@@ -1,51 +1,26 @@
 """Token ids of whole texts, as the ``tokenizers`` library gives them.
 
-``ByteLevel`` reads a byte-level vocabulary's ranks (the same vocabulary as the
-library's JSON file; the tests hold the ids of both against each other) and encodes
-texts whole. ``WordLevel`` uses the library itself and saves work by repetition: the
-ids of a text are the ids of its words in order, so each distinct word is encoded once
-per worker and kept in a cache of bounded size.
+The library's model is asked for the ids of words; a text's ids are those of its words
+in order, so each distinct short word is encoded once per worker and kept in a cache of
+bounded size. Texts with characters beyond Latin-1, or with what may be a special
+token, go to the library whole.
 """
 
 from __future__ import annotations
 
-import base64
 import os
 import re
 from array import array
 from functools import cache
-from pathlib import Path
 
-import numpy as np
+#: Words that a worker keeps before its cache starts anew, and how long such a word may be.
+CACHE_WORDS, CACHE_CHARS = 1_000_000, 64
 
-#: Words that a worker keeps before its cache starts anew.
-CACHE_WORDS = 1_000_000
-
-SPECIAL = "<|endoftext|>"
-
-
-class ByteLevel:
-    """Ids by a byte-level BPE vocabulary given as ranks (``.tiktoken``)."""
-
-    def __init__(self, path: str, pattern: str, special_id: int) -> None:
-        import tiktoken
-
-        with Path(path).open("rb") as lines:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-        self._encoding = tiktoken.Encoding("byte-level", pat_str=pattern, mergeable_ranks=ranks, special_tokens={SPECIAL: special_id})
-
-    def encode(self, text: str | None) -> np.ndarray:
-        """Ids (unsigned 32-bit) of one text; null and empty texts have none.
-
-        The special string inside a text is the special token, the library's default.
-        """
-        return self._encoding.encode_to_numpy(text or "", allowed_special="all").astype("<u4", copy=False)
-
-
-#: Texts of these characters only can be lower-cased and cut into words here.
+#: Texts of these characters only can be cut into words here.
 _PLAIN = re.compile(r"[\x09-\x0D -~À-ÖØ-öø-ÿ]*")
-#: The vocabulary file's own word pattern (fixed value), for those characters.
+#: The vocabulary files' own word patterns (fixed values), for those characters.
 _WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\s0-9a-zß-öø-ÿ]+")
+_SPACED = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-zÀ-ÖØ-öø-ÿ]+| ?[0-9]+| ?[^\s0-9A-Za-zÀ-ÖØ-öø-ÿ]+|\s+(?!\S)|\s+")
 
 #: Byte-level BPE names a byte by a visible character: its own, or for the 68 bytes
 #: that have none the next free one from U+0100.
@@ -53,45 +28,52 @@ _HIDDEN = [b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or 17
 _BYTE_NAMES = {b: chr(256 + i) for i, b in enumerate(_HIDDEN)}
 
 
-class WordLevel:
-    """Ids by a vocabulary that lower-cases and drops white space (``.json``)."""
+class Encoder:
+    """Ids by one of the two ``.json`` vocabularies; ``spaced`` says that words keep the space before them.
 
-    def __init__(self, path: str) -> None:
+    Without it the vocabulary lower-cases and drops white space.
+    """
+
+    def __init__(self, path: str, spaced: bool) -> None:
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         self._tokenizer = Tokenizer.from_file(path)
         self._model = self._tokenizer.model
+        self._spaced = spaced
         self._known: dict[str, bytes] = {}
 
-    def _library(self, texts: list[str]) -> list[bytes]:
-        return [array("H", e.ids).tobytes() for e in self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def _word(self, word: str) -> bytes:
+        return array("H", [t.id for t in self._model.tokenize(word.encode().decode("latin-1").translate(_BYTE_NAMES))]).tobytes()
 
     def encode(self, text: str | None) -> bytes:
-        """Ids of one text as 16-bit integers; null and empty texts have none."""
+        """Ids of one text as 16-bit integers; null and empty texts have none.
+
+        Special strings inside a text are special tokens, the library's default.
+        """
         if not text:
             return b""
         if not _PLAIN.fullmatch(text) or "<|" in text:
-            return self._library([text])[0]
-        words, known = _WORDS.findall(text.lower()), self._known
-        new = list(set(words).difference(known))
-        if new:
-            if len(known) > CACHE_WORDS:
-                known.clear()
-                new = list(set(words))
-            merge = self._model.tokenize
-            for w in new:
-                known[w] = array("H", [t.id for t in merge(w if w.isascii() else w.encode().decode("latin-1").translate(_BYTE_NAMES))]).tobytes()
+            return array("H", self._tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids).tobytes()
+        words, known = _SPACED.findall(text) if self._spaced else _WORDS.findall(text.lower()), self._known
+        new = set(words).difference(known)
+        if new and len(known) > CACHE_WORDS:
+            known.clear()
+            new = set(words)
+        here = {w: self._word(w) for w in new}
+        known.update((w, ids) for w, ids in here.items() if len(w) <= CACHE_CHARS)
+        if len(here) and max(map(len, here)) > CACHE_CHARS:
+            return b"".join([known[w] if w in known else here[w] for w in words])
         return b"".join(map(known.__getitem__, words))
 
 
 @cache
-def byte_level(path: str, pattern: str, special_id: int) -> ByteLevel:
+def byte_level(path: str) -> Encoder:
     """One encoder per worker process."""
-    return ByteLevel(path, pattern, special_id)
+    return Encoder(path, spaced=True)
 
 
 @cache
-def word_level(path: str) -> WordLevel:
+def word_level(path: str) -> Encoder:
     """One encoder per worker process."""
-    return WordLevel(path)
+    return Encoder(path, spaced=False)

@@ -13,7 +13,7 @@ from sparkloom.llm.common import documents
 from sparkloom.llm.tokens import byte_level, word_level
 
 SF = "/root/testdata/sf0.01"
-BYTE, RANKS, WORD = (queries.vocabulary(x) for x in ("byte_bpe_50k.json", "byte_bpe_50k.tiktoken", "word_bpe_49k.json"))
+BYTE, WORD = (queries.vocabulary(x) for x in ("byte_bpe_50k.json", "word_bpe_49k.json"))
 ODD = [
     None, "", " ", "\n\n  \t", "a<|endoftext|> b<|endoftext|>", "  x \n\n y  z\t", "ΣΑΣ İ ﬁ é don't 'S <|startoftext|>x 123", "　中文 テスト 🎉🎉 \x1cq",
     "a \n\nb   c", "ß Straße ÄÖÜ ÿ×÷", "x" * 20_000, "ab " * 5_000, "we'll they're I'd it's'm", "¼ ² µ ª",
@@ -35,7 +35,7 @@ def test_encoders_match_library(texts):
     byte, word = Tokenizer.from_file(BYTE), Tokenizer.from_file(WORD)
     for t in texts:
         want = byte.encode(t or "", add_special_tokens=False).ids
-        assert byte_level(RANKS, queries.BYTE_PATTERN, 50256).encode(t).tolist() == want
+        assert np.frombuffer(byte_level(BYTE).encode(t), "<u2").tolist() == want
         assert bpe_count.counter(BYTE, queries.BYTE_PATTERN).count(t) == len(want)
         assert np.frombuffer(word_level(WORD).encode(t), "<u2").tolist() == word.encode(t or "", add_special_tokens=False).ids
 
@@ -82,26 +82,56 @@ def test_pack_odd_rows(spark, odd):
     once = odd.filter("doc_id is not null").dropDuplicates(["doc_id"])
     byte = Tokenizer.from_file(BYTE)
     ids = {i: byte.encode(t or "", add_special_tokens=False).ids + [2] for i, t in enumerate(ODD)}
-    cut = lambda df: packing.pieces(df, RANKS, queries.BYTE_PATTERN, 50256)
+    cut = lambda df: packing.pieces(df, BYTE)
     check_packing(packing.pack(cut(once)).collect(), ids)
     assert packing.pack(cut(odd)).count() == cut(odd).count()
     assert packing.pack(cut(odd.limit(0))).count() == 0
 
 
+def test_very_long_runs(spark):
+    byte = Tokenizer.from_file(BYTE)
+    for run in (" " * 1_000_000 + "x", "a" * 5_000_000, "=" * 1_000_000, " " * 5_000_000):
+        got = np.frombuffer(byte_level(BYTE).encode(run), "<u2").tolist()
+        assert got == byte.encode(run, add_special_tokens=False).ids
+    rows = packing.pack(packing.pieces(spark.createDataFrame([(1, " " * 1_000_000 + "x")], "doc_id long, text string"), BYTE)).collect()
+    assert sum(r["length"] for r in rows) == 1_000_001  # the last space and x are one token
+
+
+def plain_best_fit(counts, capacity):
+    gaps, sequences = [0] * (capacity + 1), 0
+    for length in sorted((x for x, n in counts.items() for _ in range(n)), reverse=True):
+        gap = next((g for g in range(length, capacity + 1) if gaps[g]), None)
+        if gap is None:
+            sequences, gap = sequences + 1, capacity
+        else:
+            gaps[gap] -= 1
+        gaps[gap - length] += 1
+    return sequences
+
+
 def test_plan_uses_every_piece():
     rng = np.random.default_rng(3)
-    for _ in range(20):
+    for _ in range(40):
         counts = {int(k): int(v) for k, v in zip(rng.integers(1, 65, 20), rng.integers(1, 9, 20), strict=True)}
-        used = defaultdict(int)
+        used, sequences = defaultdict(int), 0
         for lengths, times in packing.plan(counts, 64):
             assert sum(lengths) <= 64 and times > 0
+            sequences += times
             for x in lengths:
                 used[x] += times
         assert dict(used) == counts
-    assert packing.plan({60: 2, 1: 2, 3: 2, 20: 2}, 64)[0] == ((60, 3, 1), 2)
+        assert sequences <= plain_best_fit(counts, 64) * 1.03 + 1
     assert packing.plan({}, 64) == []
 
 
+def test_exact_fills_go_by_parts():
+    taken = lambda counts: packing.exact_fills(np.array([counts.get(i, 0) for i in range(65)]))
+    assert taken({64: 2, 40: 3, 24: 2, 20: 1, 4: 1}) == [((64,), 2), ((40, 24), 2), ((40, 20, 4), 1)]
+    assert taken({30: 1, 20: 1, 10: 1, 4: 1}) == [((30, 20, 10, 4), 1)]
+    assert taken({32: 3, 16: 2}) == [((32, 32), 1), ((32, 16, 16), 1)]
+    assert taken({50: 1, 20: 1}) == []
+
+
 def test_store_round_trip(spark, odd, tmp_path):
     word = Tokenizer.from_file(WORD)
     for name, df in (("a", odd), ("b", documents(spark, SF)), ("c", odd.limit(0))):
