@@ -3,7 +3,9 @@
 Document signals are counted inside each row with array functions (no shuffle of
 words). Rule failures are then aggregated by host, each host's failure rate is
 shrunk towards the corpus rate with a beta prior fitted to all hosts by the method
-of moments, and the verdict on the host is joined back to its documents.
+of moments. A host is judged against that prior: where the odds of a failure are a
+multiple of the prior's, all its documents go; where they are above the prior's at all,
+its documents must pass the stricter rules too. The verdict is joined back to them.
 """
 
 from __future__ import annotations
@@ -15,16 +17,22 @@ from pyspark.sql import functions as F
 
 from sparkloom.llm.common import let, materialize, words
 
+#: A rate must be above another by so much: sums come in any order.
+CLOSE = 1e-9
+
 
 @dataclass(frozen=True)
 class QualityRules:
-    """Limits of the document rules and of the host verdict."""
+    """Limits of the document rules, and of a host's failure odds over the prior's.
+
+    Words and repeats are the base rules; symbols and repeated lines the stricter ones.
+    """
 
     min_words: int = 50
     max_repeat_percent: int = 50
     max_symbol_percent: int = 10
     max_dup_line_percent: int = 30
-    max_host_fail_rate: float = 0.5
+    max_host_odds: float = 2.0
 
 
 def host_of(source: Column) -> Column:
@@ -118,40 +126,60 @@ def host_rates(judged: DataFrame) -> DataFrame:
         shrunk = F.lit(float(p))
     else:
         shrunk = (f + float(p * m)) / (n + float(m))
-    return hosts.withColumn("host_fail_rate", shrunk)
+    return hosts.withColumn("host_fail_rate", shrunk).withColumn("prior_rate", F.lit(p).cast("double"))
+
+
+def verdicts(judged: DataFrame, rules: QualityRules) -> DataFrame:
+    """:func:`host_rates` with ``verdict``: ``bad``, ``watched`` or ``good``."""
+    r, p = F.col("host_fail_rate"), F.col("prior_rate")
+    verdict = F.when(r * (1 - p) > rules.max_host_odds * p * (1 - r) + CLOSE, F.lit("bad")).when(r > p + CLOSE, F.lit("watched")).otherwise(F.lit("good"))
+    return host_rates(judged).withColumn("verdict", verdict)
+
+
+def _failures(rules: QualityRules, s: Column) -> tuple[Column, Column]:
+    """Whether a row's signals fail the base rules, and any rules."""
+    n = s["n_words"]
+    base = (n < rules.min_words) | (100 * s["n_repeat_words"] > rules.max_repeat_percent * n)
+    more = (100 * s["n_symbols"] > rules.max_symbol_percent * s["word_chars"]) | (100 * s["n_dup_lines"] > rules.max_dup_line_percent * n)
+    return base, base | more
 
 
 def judge(docs: DataFrame, rules: QualityRules = QualityRules(), key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """Signals, document verdict and host verdict of every row.
 
-    Returns key, the five signals, ``base_failed``, ``host``, ``host_fail_rate`` and
-    ``kept``. A row is kept if it passes the base rules and its host's shrunk failure
-    rate is at most ``max_host_fail_rate``. A row without a source has no host: it
-    counts for none and its base rules decide. Rows are judged one by one, so
-    repeated rows and null keys come back as often as they came in.
+    Returns key, the five signals, ``base_failed``, ``kept``, ``host``,
+    ``host_fail_rate`` and ``host_verdict``. A row is kept if it passes the base rules,
+    its host is not bad, and, on a watched host, it passes the stricter rules as well. A
+    row without a source has no host: it counts for none and its base rules decide. Null
+    and empty texts have no words and fail. Rows are judged one by one, so repeated rows
+    and null keys come back as often as they came in; an empty table gives none.
     """
-    rated = docs.select(F.col(key).alias("_key"), host_of(F.col(source)).alias("_host"), signals(F.col(text)).alias("_s")).select("_key", "_host", "_s.*")
-    n = F.col("n_words")
-    base = (n < rules.min_words) | (100 * F.col("n_repeat_words") > rules.max_repeat_percent * n)
-    more = (100 * F.col("n_symbols") > rules.max_symbol_percent * F.col("word_chars")) | (100 * F.col("n_dup_lines") > rules.max_dup_line_percent * n)
-    judged = materialize(rated.withColumn("base_failed", base).withColumn("_failed", F.col("base_failed") | more), "quality-signals")
-    rates = host_rates(judged).select("_host", "host_fail_rate")
-    bad_host = F.coalesce(F.col("host_fail_rate") > rules.max_host_fail_rate, F.lit(False))
-    return judged.join(rates, "_host", "left").select(
-        F.col("_key").alias(key), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
-        (~F.col("base_failed") & ~bad_host).alias("kept"), F.col("_host").alias("host"), "host_fail_rate",
+    base, failed = _failures(rules, F.col("_s"))
+    rated = docs.select(F.col(key).alias("_key"), host_of(F.col(source)).alias("_host"), signals(F.col(text)).alias("_s"))
+    judged = materialize(rated.withColumn("base_failed", base).withColumn("_failed", failed), "quality-signals")
+    hosts = verdicts(judged, rules).select("_host", "host_fail_rate", "verdict")
+    strict = F.coalesce(F.col("verdict") == "bad", F.lit(False)) | (F.coalesce(F.col("verdict") == "watched", F.lit(False)) & F.col("_failed"))
+    return judged.join(hosts, "_host", "left").select(
+        F.col("_key").alias(key), "_s.*", "base_failed", (~F.col("base_failed") & ~strict).alias("kept"),
+        F.col("_host").alias("host"), "host_fail_rate", F.col("verdict").alias("host_verdict"),
     )
 
 
-def keep_good(docs: DataFrame, rules: QualityRules = QualityRules()) -> DataFrame:
-    """The rows of ``docs`` that pass, with all their columns.
+def keep_good(docs: DataFrame, rules: QualityRules = QualityRules(), text: str = "text", source: str = "source") -> DataFrame:
+    """The rows of ``docs`` that :func:`judge` keeps, with all their columns, whatever their names.
 
-    The base rules decide row by row where the text is; only the list of bad hosts
-    (usually empty, and written down first, so its size is known) is joined.
+    Signals are counted once: rows that pass the base rules are written down beside
+    their flags, all others as flags alone. Only the hosts to look out for are joined to
+    the texts, and to those of watched hosts only rows that fail the stricter rules.
     """
-    flagged = judge(docs, rules)
-    bad = materialize(flagged.filter(F.col("host_fail_rate") > rules.max_host_fail_rate).select("host").distinct(), "quality-bad-hosts")
-    passed = docs.withColumn("_s", signals(F.col("text"))).filter(
-        (F.col("_s.n_words") >= rules.min_words) & (100 * F.col("_s.n_repeat_words") <= rules.max_repeat_percent * F.col("_s.n_words"))
-    )
-    return passed.withColumn("_host", host_of(F.col("source"))).join(bad.withColumnRenamed("host", "_host"), "_host", "left_anti").select(*docs.columns)
+    base, failed = _failures(rules, F.col("s"))
+    flagged = materialize(
+        docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), host_of(F.col(source)).alias("_host"), signals(F.col(text)).alias("s"))
+        .select(F.when(~base, F.col("row")).alias("row"), "_host", failed.alias("_failed")),
+        "quality-flagged",
+    )
+    odd = materialize(verdicts(flagged, rules).filter("verdict != 'good'").select("_host", "verdict"), "quality-hosts-to-watch")
+    passed = flagged.filter(F.col("row").isNotNull())
+    clean = passed.filter(~F.col("_failed")).join(odd.filter("verdict = 'bad'"), "_host", "left_anti")
+    doubtful = passed.filter("_failed").join(odd, "_host", "left_anti")
+    return clean.unionByName(doubtful).select("row.*")

@@ -62,11 +62,13 @@ f AS (SELECT *, base_failed OR 100 * n_symbols > 10 * word_chars OR 100 * n_dup_
 h AS (SELECT host, CAST(count(*) AS DOUBLE) AS n, CAST(sum(CAST(failed AS INTEGER)) AS DOUBLE) AS f FROM f WHERE host IS NOT NULL GROUP BY host),
 m AS (SELECT sum(n) AS nn, sum(f) / sum(n) AS p, sum(n * n) AS n2, sum(f * f / n) AS ff, count(*) AS k FROM h),
 v AS (SELECT *, p * (1 - p) AS c, (ff - nn * p * p - (k - 1) * p * (1 - p)) / nullif(nn - n2 / nn, 0) AS v FROM m),
-prior AS (SELECT p, CASE WHEN v > 0 AND c > v THEN c / v - 1 END AS m FROM v),
-rates AS (SELECT host, CASE WHEN m IS NULL THEN p ELSE (f + p * m) / (n + m) END AS rate FROM h, prior)
+prior AS (SELECT p, CASE WHEN v > 0 THEN greatest(c / v - 1, 0) END AS m FROM v),
+rates AS (SELECT host, p, CASE WHEN m IS NULL THEN p ELSE (f + p * m) / (n + m) END AS rate FROM h, prior),
+verdicts AS (SELECT host, rate, CASE WHEN rate * (1 - p) > 2 * p * (1 - rate) + 1e-9 THEN 'bad' WHEN rate > p + 1e-9 THEN 'watched' ELSE 'good' END AS verdict FROM rates)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-       NOT base_failed AND coalesce(rate <= 0.5, true) AS kept, host, round(rate, 6) AS host_fail_rate
-FROM f LEFT JOIN rates USING (host)
+       NOT base_failed AND coalesce(verdict = 'good' OR (verdict = 'watched' AND NOT failed), true) AS kept,
+       host, round(rate, 6) AS host_fail_rate, verdict AS host_verdict
+FROM f LEFT JOIN verdicts USING (host)
 """)
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(documents(spark, sf_dir)).withColumn("host_fail_rate", F.round("host_fail_rate", 6))

@@ -3,10 +3,11 @@
 Fingerprints of 64 bits link when they differ in at most ``radius`` bits.
 
 * Equal fingerprints become one node, so copies never meet as pairs.
-* The bits are cut into ``radius + 1`` blocks. Two linked fingerprints agree on at
-  least one block, so for each block a vantage-point tree over that block alone deals
-  them into shards by their distances to shared vantage points. Equal blocks have
-  equal distances: with a block radius of 0, no shard border cuts a link.
+* The bits are cut into ``radius + a`` blocks. Two linked fingerprints agree on at
+  least ``a`` of them, so for each choice of ``a`` blocks a vantage-point tree over their
+  bits alone deals fingerprints into shards by their distances to shared vantage points.
+  Equal bits have equal distances: with a radius of 0, no shard border cuts a link. The
+  more fingerprints there are, the larger is ``a``, which keeps shards from growing.
 * Inside a shard a vantage-point tree over all 64 bits finds the links: points are
   split at the median distance to a vantage point, and only points within ``radius``
   of the border, by the triangle inequality, are held against the other side. A
@@ -18,10 +19,11 @@ Fingerprints of 64 bits link when they differ in at most ``radius`` bits.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.llm.common import materialize, shuffle_partitions
@@ -30,33 +32,43 @@ SEED = 42
 BITS = 64
 #: Vantage points per block, and shard sizes up to which all pairs are compared.
 LEVELS, BRUTE = 22, 48
+#: Spread fingerprints in a shard, about, from which on more blocks have to agree.
+SHARD = 4096
 
 
-def fingerprint(text: str | None, width: int = 4) -> int:
-    """SimHash of a text's word shingles (repeats count); 0 for a text without words.
+def shingle_hashes(text: str | None, width: int = 4) -> np.ndarray:
+    """XXH64 of a text's word shingles in order, repeats included; none without words.
 
-    A-Z are lower-cased. A text of fewer than ``width`` words is one shingle. A bit is
-    set if more than half of the shingles' XXH64 values have it.
+    A-Z are lower-cased. A text of fewer than ``width`` words is one shingle.
     """
     import xxhash
 
-    words = (text or "").encode().lower().split()
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
-        return 0
+        return np.empty(0, np.uint64)
     joined = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate([[0], ends[:-1] + 1])
     k = min(width, len(words))
     digest = xxhash.xxh64_intdigest
     n = len(words) - k + 1
-    values = np.array([digest(joined[a:b], SEED) for a, b in zip(starts[:n].tolist(), ends[k - 1 :].tolist(), strict=True)], ">u8")
-    set_in = np.zeros(BITS, np.int64)
+    return np.array([digest(joined[a:b], SEED) for a, b in zip(starts[:n].tolist(), ends[k - 1 :].tolist(), strict=True)], np.uint64)
+
+
+def sketch(hashes: np.ndarray) -> int:
+    """SimHash of shingle hashes as a signed integer: a bit is set if more than half of them have it; 0 for none."""
+    n, set_in = len(hashes), np.zeros(BITS, np.int64)
     for at in range(0, n, 1 << 16):
-        part = values[at : at + (1 << 16)]
+        part = hashes[at : at + (1 << 16)].astype(">u8")
         set_in += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
     return int.from_bytes(np.packbits(2 * set_in > n).tobytes(), "big", signed=True)
 
 
+def fingerprint(text: str | None, width: int = 4) -> int:
+    """SimHash of a text's word shingles (repeats count); 0 for a text without words."""
+    return sketch(shingle_hashes(text, width))
+
+
 def fingerprints(docs: DataFrame, width: int = 4) -> DataFrame:
     """doc_id and fp (a signed long) of every row, texts read whole."""
 
@@ -74,19 +86,30 @@ def block_masks(blocks: int) -> list[int]:
     return [((1 << (b - a)) - 1) << a for a, b in zip(ends, ends[1:], strict=False)]
 
 
-def shards(nodes: DataFrame, radius: int) -> DataFrame:
-    """Each fingerprint once per block, with its shard: the sides it takes at the vantage points."""
+def agreeing(points: int, radius: int) -> int:
+    """How many blocks must agree, so that a shard of spread fingerprints has about ``SHARD`` of them."""
+    return next(a for a in range(1, BITS) if points <= SHARD * 2.0 ** (BITS * a / (radius + a)))
+
+
+def shards(nodes: DataFrame, radius: int, agree: int = 1) -> DataFrame:
+    """fp and shard: each fingerprint once per choice of ``agree`` blocks.
+
+    A block's code is the sides that it takes at its vantage points; a choice's shard is
+    told by the codes of its blocks.
+    """
     rng = np.random.default_rng(SEED)
-    cells = []
-    for block, mask in enumerate(block_masks(radius + 1)):
+    codes = []
+    for mask in block_masks(radius + agree):
         middle = mask.bit_count() // 2
         code = F.lit(0).cast("long")
         for level in range(LEVELS):
             vantage = int(rng.integers(0, 1 << 63)) * 2 + int(rng.integers(0, 2)) & mask
             part = F.col("fp").bitwiseAND(_long(mask)).bitwiseXOR(_long(vantage))
             code = code + F.when(F.bit_count(part) > middle, F.lit(1 << level).cast("long")).otherwise(F.lit(0).cast("long"))
-        cells.append(F.struct(F.lit(block).alias("block"), code.alias("shard")))
-    return nodes.select("fp", F.explode(F.array(*cells)).alias("c")).select("c.block", "c.shard", "fp")
+        codes.append(code)
+    coded = nodes.select("fp", F.array(*codes).alias("codes"))
+    cells = [F.xxhash64(F.lit(i), *[F.col("codes")[k] for k in chosen]) for i, chosen in enumerate(combinations(range(len(codes)), agree))]
+    return coded.select("fp", F.explode(F.array(*cells)).alias("shard"))
 
 
 def _long(x: int):
@@ -208,9 +231,12 @@ def _shard_edges(shard: np.ndarray, fps: np.ndarray, radius: int) -> tuple[np.nd
     return moved, label[moved]
 
 
-def links(nodes: DataFrame, radius: int = 4) -> DataFrame:
+def links(nodes: DataFrame, radius: int = 4, agree: int | None = None) -> DataFrame:
     """Edges (a, b) that connect the distinct fingerprints ``fp`` linked within ``radius``.
 
+    ``agree`` blocks decide a fingerprint's shard; by default as many as the number of
+    fingerprints asks for.
+
     Not every linked pair is listed, but every linked pair is connected by edges, and
     every edge joins members of one component.
     """
@@ -225,8 +251,8 @@ def links(nodes: DataFrame, radius: int = 4) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            block, shard, fp = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
-            shard = np.concatenate([held_shard, shard * 64 + block])
+            shard, fp = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(2))
+            shard = np.concatenate([held_shard, shard])
             fps = np.concatenate([held_fp, fp.view(np.uint64)])
             cut = int(np.flatnonzero(shard != shard[-1])[-1]) + 1 if (shard != shard[-1]).any() else 0
             if cut:
@@ -236,7 +262,7 @@ def links(nodes: DataFrame, radius: int = 4) -> DataFrame:
             yield found(held_shard, held_fp)
 
     n = shuffle_partitions(nodes.sparkSession)
-    dealt = shards(nodes, radius).repartition(n, "block", "shard").sortWithinPartitions("block", "shard")
+    dealt = shards(nodes, radius, agree or agreeing(nodes.count(), radius)).select("shard", "fp").repartition(n, "shard").sortWithinPartitions("shard")
     return dealt.mapInArrow(work, "a long, b long").distinct()
 
 
@@ -283,17 +309,3 @@ def near_duplicates(docs: DataFrame, width: int = 4, radius: int = 4) -> DataFra
     named = linked.join(lowest, "root").select("fp", "component_id")
     labels = materialize(nodes.join(named, "fp", "left").select("fp", F.coalesce("component_id", "low").alias("component_id")), "labels")
     return prints.join(labels, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
-
-
-def keep_one(docs: DataFrame, width: int = 4, radius: int = 4) -> DataFrame:
-    """``docs`` with one row per component: the one with the smallest doc_id.
-
-    Of rows with the same doc_id, the one with the smallest text stays. Rows without a
-    doc_id cannot be named by a component and all stay.
-    """
-    found = near_duplicates(docs, width, radius)
-    keep = found.filter(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    named = docs.filter(F.col("doc_id").isNotNull()).join(keep, "doc_id", "left_semi")
-    first = Window.partitionBy("doc_id").orderBy(F.asc_nulls_first("text"))
-    one = named.withColumn("_first", F.row_number().over(first)).filter("_first = 1").select(*docs.columns)
-    return one.unionByName(docs.filter(F.col("doc_id").isNull()))

@@ -1,6 +1,12 @@
-"""Host rates where hosts differ as much as they can, and where they do not."""
+"""Host rates and verdicts, and odd rows."""
 
-from sparkloom.llm import quality
+import re
+from collections import Counter
+
+from sparkloom.llm import quality, queries
+
+FINE = " ".join(f"w{i}" for i in range(60))
+NOISY = FINE + " #" * 60
 
 
 def rates(spark, hosts):
@@ -27,3 +33,51 @@ def test_hosts_alike_get_the_mean(spark):
     assert set(got.values()) == {0.5}
     got = rates(spark, {"a": (100, 10), "b": (100, 30)})
     assert 0.1 < got["a"] < 0.2 < got["b"] < 0.3
+
+
+def planted(spark):
+    """Nine ordinary hosts, one that fails often, one a little more than the rest."""
+    share = {"bad.org": 70, "worse.org": 20} | {f"h{i}.org": 10 for i in range(9)}
+    rows = [(200 * k + i, NOISY if i % 100 < bad else FINE, f"https://www.{host}/a{i}") for k, (host, bad) in enumerate(share.items()) for i in range(200)]
+    return spark.createDataFrame(rows, "doc_id long, text string, source string")
+
+
+def test_planted_hosts_decide(spark):
+    rows = quality.judge(planted(spark)).collect()
+    assert not any(r["base_failed"] for r in rows)
+    verdict = {r["host"]: r["host_verdict"] for r in rows}
+    assert verdict.pop("bad.org") == "bad" and verdict.pop("worse.org") == "watched" and set(verdict.values()) == {"good"}
+    gone = Counter(r["host"] for r in rows if not r["kept"])
+    assert gone == {"bad.org": 200, "worse.org": 40}
+
+
+def test_stage_and_query_agree(spark):
+    df = planted(spark)
+    want = {r["doc_id"] for r in quality.judge(df).collect() if r["kept"]}
+    assert {r["doc_id"] for r in quality.keep_good(df).collect()} == want
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    judged = queries.QUERIES["op2_quality_rules"](spark, "/root/testdata/sf0.1").collect()
+    assert any(r["kept"] == r["base_failed"] for r in judged)
+    assert sorted(r["doc_id"] for r in quality.keep_good(docs).collect()) == sorted(r["doc_id"] for r in judged if r["kept"])
+
+
+def plain(text):
+    w = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+    n = Counter(tuple(w[i : i + 3]) for i in range(len(w) - 2))
+    covered = {i + k for i in range(len(w) - 2) if n[tuple(w[i : i + 3])] > 1 for k in range(3)}
+    lines = [x for x in (text or "").split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    return len(w), sum(map(len, w)), len(re.sub(r"[^#*$%&|<>]", "", text or "")), len(lines) - len(set(lines)), len(covered)
+
+
+def test_odd_rows(spark):
+    texts = [None, "", " \n\t", "a b c a b c", "x " * 30_000, "\n".join(["same line"] * 40), "é\u00a0é ü" * 30, FINE, FINE, NOISY, "a" * 200_000]
+    rows = [(i, t, "h.org" if i in (7, 8) else None, "s", "host", True, 1.0, "row", "v") for i, t in enumerate(texts)] + [(None, FINE, " ", "s", "host", True, 1.0, "row", "v")] * 2
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, s string, _host string, _failed boolean, `a.b` double, row string, verdict string")
+    got = quality.judge(df).collect()
+    assert len(got) == len(rows)
+    signal = {r["doc_id"]: tuple(r)[1:6] for r in got if r["doc_id"] is not None}
+    assert signal == {i: plain(t) for i, t in enumerate(texts)}
+    kept = quality.keep_good(df)
+    assert kept.columns == df.columns
+    assert sorted(map(str, kept.collect())) == sorted(str(r) for r in df.collect() if r["doc_id"] in (7, 8, 9) or r["doc_id"] is None)
+    assert quality.judge(df.limit(0)).count() == quality.keep_good(df.limit(0)).count() == 0
