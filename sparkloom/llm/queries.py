@@ -114,13 +114,9 @@ def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.plan(documents(spark, sf_dir))
 
 
-#: Key of the surrogates in the registered queries; a real run passes its own secret.
-PII_KEY = "registered-queries"
-
-
 @query()
 def op1_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.replace(documents(spark, sf_dir), PII_KEY, counted="n_replaced")
+    return pii.replace(documents(spark, sf_dir), pii.session_key(spark), counted="n_replaced")
 
 
 @query()

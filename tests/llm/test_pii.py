@@ -78,6 +78,49 @@ def test_formats_and_coreference(spark):
     assert run(spark, texts) == out
 
 
+def test_names_again_without_a_title(spark):
+    out = run(spark, ["Mr. Smith met Anna. Later Smith left; Smith's hat, not Smithson.", "Mrs Anna-Maria O'Brien and Anna-Maria, O'Brien's, OBrien", "Mr. J. R. Tolkien, then Tolkien. TOLKIEN", f"Mr. Berg{pii.MARK} and Berg"])
+    a = re.fullmatch(r"Mr\. (\w+) met Anna\. Later (\w+) left; (\w+)'s hat, not Smithson\.", out[0])
+    assert a and a[1] == a[2] == a[3] != "Smith"
+    b = re.fullmatch(r"Mrs (\w+-\w+ia) (\w'\w+) and (\w+-\w+ia), (\w'\w+)'s, OBrien", out[1])
+    assert b and b[1] == b[3] and b[2] == b[4] and "Anna" not in out[1] and re.match("[A-Z][a-z]+-[A-Z]", b[1]) and re.match("[A-Z]'[A-Z]", b[2])
+    c = re.fullmatch(r"Mr\. J\. R\. (\w+), then (\w+)\. TOLKIEN", out[2])
+    assert c and c[1] == c[2] != "Tolkien"
+    assert "Berg" not in out[3] and pii.MARK in out[3]
+
+
+def mod97(account):
+    digits = "".join(str(int(c, 36)) for c in account[4:] + account[:4])
+    return int(digits) % 97
+
+
+def test_accounts_are_valid(spark):
+    out = run(spark, ["pay DE89 3704 0044 0532 0130 00 now", "GB82WEST12345698765432", "not DE89 3704 0044 0532 0130 01"])
+    assert mod97(re.search("DE[0-9 ]+[0-9]", out[0])[0].replace(" ", "")) == 1 and "3704" not in out[0]
+    assert re.fullmatch(r"GB\d\d[A-Z]{4}\d{14}", out[1]) and mod97(out[1]) == 1 and out[1] != "GB82WEST12345698765432"
+    assert out[2] == "not DE89 3704 0044 0532 0130 01"
+
+
+def test_keyed_by_the_session(spark):
+    import hashlib
+    import hmac
+
+    got = spark.range(1).select(pii._mac("secret", F.lit("é x")).alias("m")).first()["m"]
+    assert got == hmac.new(b"secret", "é x".encode(), hashlib.sha256).hexdigest()
+    assert pii.session_key(spark) == pii.TRIAL_KEY
+    spark.conf.set(pii.KEY_SETTING, "mine")
+    assert pii.session_key(spark) == "mine"
+    spark.conf.unset(pii.KEY_SETTING)
+
+
+def test_full_types_grow(spark, monkeypatch):
+    """Where a type has fewer surrogates than values, surrogates get longer and the job ends."""
+    monkeypatch.setattr(pii, "WIDEN", 1)
+    values = spark.range(10).select(F.lit("ssn").alias("kind"), F.col("id").cast("string").alias("canon"), F.lit("").alias("gender"))
+    named = pii._settled(values, "k").withColumn("name", pii.surrogate("k", F.col("kind"), F.col("canon"), F.col("gender"), F.col("attempt"))).collect()
+    assert len({r["name"] for r in named}) == 10 and not {r["name"] for r in named} & {r["canon"] for r in named}
+
+
 def test_clashes_are_resolved(spark):
     """A type with few surrogates: ten thousand values, all apart, none a real one."""
     values = spark.range(500).select(F.lit("ssn").alias("kind"), F.lpad(F.col("id").cast("string"), 3, "0").alias("canon"), F.lit("").alias("gender"))
@@ -96,7 +139,7 @@ def test_exceptions_reach_documents(spark):
 
 def test_odd_rows(spark):
     rows = [(1, None, None), (2, "", 3), (2, "a@b.com", 3), (2, "a@b.com", 3), (None, "q a@b.com", None), (None, None, 0)]
-    df = spark.createDataFrame(rows, "doc_id long, text string, n_chars int").selectExpr("*", "'z' as gender", "1 as attempt", "'id' as id", "'k' as kind", "'c' as canon")
+    df = spark.createDataFrame(rows, "doc_id long, text string, n_chars int").selectExpr("*", "'z' as gender", "1 as attempt", "'id' as id", "'k' as kind", "'c' as canon", "'s' as _special", "'s' as special", "7 as h", "'r' as row", "'n' as new", "1.5 as `a.b`")
     got = pii.replace(df, "k")
     assert got.columns == df.columns and got.count() == 6
     found = [r["text"] for r in got.collect() if r["text"]]
