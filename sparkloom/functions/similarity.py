@@ -26,8 +26,8 @@ def word_similarity(a: Column, b: Column) -> Column:
     """Best share of ``a``'s trigrams in common with a stretch of ``b``; for short strings.
 
     The share is common trigrams by all trigrams of both; every stretch of ``b``'s
-    trigrams is tried, which takes the square of its length. 0 if either has no
-    trigram, null if either is null.
+    trigrams between two common ones is tried, which takes the square of their number. 0
+    if either has no trigram, null if either is null.
     """
 
     def best(x: Column, y: Column) -> Column:
@@ -35,8 +35,9 @@ def word_similarity(a: Column, b: Column) -> Column:
             stretch = F.array_distinct(F.slice(y, i, j - i + 1))
             return _let(F.size(F.array_intersect(x, stretch)), lambda k: k / (F.size(x) + F.size(stretch) - k))
 
-        starts = F.sequence(F.lit(1), F.size(y))
-        return F.array_max(F.transform(starts, lambda i: F.array_max(F.transform(F.sequence(i, F.size(y)), lambda j: of(i, j)))))
+        # A best stretch starts and ends on a common trigram.
+        hits = F.filter(F.sequence(F.lit(1), F.size(y)), lambda i: F.array_contains(x, F.get(y, i - 1)))
+        return _let(hits, lambda at: F.coalesce(F.array_max(F.transform(at, lambda i: F.array_max(F.transform(F.filter(at, lambda j: j >= i), lambda j: of(i, j))))), F.lit(0.0)))
 
     found = _let(F.array_distinct(trigrams(a)), lambda x: _let(trigrams(b), lambda y: F.when((F.size(x) == 0) | (F.size(y) == 0), F.lit(0.0)).otherwise(best(x, y))))
     return F.when(a.isNotNull() & b.isNotNull(), found)

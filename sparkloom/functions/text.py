@@ -143,8 +143,7 @@ def stat_lines(stats: Column, known: Sequence[tuple[str, str, str]]) -> Column:
     """
 
     def one(key: str, label: str, unit: str) -> Column:
-        value = F.round(stats[key] * (100 if unit == "fraction" else 1), 1)
-        number = F.regexp_replace(plain_number(value, 1), r"\.0$", "")
+        number = F.regexp_replace(plain_number(stats[key] * (100 if unit == "fraction" else 1), 1), r"\.0$", "")
         return F.when(stats[key].isNotNull(), F.concat(F.lit(label + " "), number, F.lit("" if unit == "flat" else "%")))
 
     return F.array_join(F.array_compact(F.array(*[one(*k) for k in known])), ", ")
@@ -184,3 +183,62 @@ def insert_links(names: Mapping[str, str]):
         return pd.Series([None if t is None else re.sub(r"'([^'\n]+)'", one, t) for t in texts], dtype=object)
 
     return link
+
+
+def wrapped(text: Column, start: str, end: str) -> Column:
+    """The text between two delimiter lines."""
+    return F.concat(F.lit(start + "\n"), text, F.lit("\n" + end))
+
+
+def off_topic(text: Column, keywords: str) -> Column:
+    """Whether the text has no keyword of the subject."""
+    return ~F.coalesce(text.rlike(keywords), F.lit(False))
+
+
+def asks_version(text: Column, subject: str, exclude: Sequence[str], signals: Sequence[str], bare: str) -> Column:
+    """Whether a text asks for the current version.
+
+    It names the subject and no excluded word; then a signal word decides, or else that
+    nothing but the ``bare`` pattern is there once end punctuation is cut off.
+    """
+    has = lambda words: reduce(Column.__or__, [text.contains(w) for w in words], F.lit(False))
+    rest = strip(F.regexp_replace(text, r"[?!？！ ]+$", ""))
+    return F.coalesce(F.when(~text.contains(subject) | has(exclude), F.lit(False)).otherwise(has(signals) | rest.rlike(f"^(?:{bare})$")), F.lit(False))
+
+
+def without_citations(text: Column, markers: Sequence[str], citation: str) -> Column:
+    """Citations taken out and blanks squeezed where the text says that it has no information."""
+    none = reduce(Column.__or__, [text.contains(m) for m in markers], F.lit(False))
+    return F.when(none, strip(F.regexp_replace(F.regexp_replace(text, citation, ""), r"[ \t]+", " "))).otherwise(text)
+
+
+def warn_unknown_sources(text: Column, known_urls: Column, warning: str, orphan: str, url: str = r"https?://[^\s)\]]+", trailing: str = r"[.,;:!?]+$") -> Column:
+    """The text, with a warning if it has a URL that is not known or a source label without one."""
+    urls = F.transform(F.regexp_extract_all(text, F.lit(url), F.lit(0)), lambda u: F.regexp_replace(u, trailing, ""))
+    return F.when((F.size(F.array_except(urls, known_urls)) > 0) | text.rlike(orphan), F.concat(text, F.lit("\n\n" + warning))).otherwise(text)
+
+
+def search_text(query: Column, last_answer: Column) -> Column:
+    """The last answer, if there is one, before the query."""
+    return F.concat_ws("\n", F.when(last_answer != "", last_answer), query)
+
+
+def emitted_words(text: Column) -> Column:
+    """Words of an answer one by one, each but the last with the blank after it."""
+    words = F.split(text, " ", -1)
+    return F.transform(words, lambda w, i: F.when(i < F.size(words) - 1, F.concat(w, F.lit(" "))).otherwise(w))
+
+
+def postprocessed(text: Column, markers: Sequence[str], subject: str, rate_mask: str, names: Sequence[str], name_mask: str, known: Column, warning: str) -> Column:
+    """Markers dropped, rates and names masked, then a warning for names that are not known."""
+    return warn_ungrounded(mask_names(mask_rate(drop_markers(text, markers), subject, rate_mask), names, name_mask), known, warning)
+
+
+def playstyle(carries: Column, badges: Column, labels: Sequence[tuple[str, str]], otherwise: str) -> Column:
+    """Carries joined by ``/`` and the badges that are set, labelled, joined by a middle dot.
+
+    ``badges`` maps badge to text: ``true`` gives the label alone, null and ``false`` nothing.
+    """
+    shown = [F.when(badges[k] == "true", F.lit(label)).when(badges[k] != "false", F.concat(F.lit(label + " "), badges[k])) for k, label in labels]
+    parts = F.array_compact(F.array(F.when(F.size(carries) > 0, F.array_join(carries, "/")), *shown))
+    return F.when(F.size(parts) > 0, F.array_join(parts, " · ")).otherwise(F.lit(otherwise))

@@ -39,7 +39,8 @@ def quota_union(df: DataFrame, kind: str, order: Sequence[Column], quotas: Mappi
     quota = F.create_map(*[F.lit(x) for name in names for x in (name, quotas[name])])
     branch = F.create_map(*[F.lit(x) for i, name in enumerate(names) for x in (name, i)])
     ranked = df.filter(F.col(kind).isin(names)).withColumn("_rank", F.row_number().over(Window.partitionBy(kind).orderBy(*order)))
-    return ranked.filter(F.col("_rank") <= quota[F.col(kind)]).withColumn("branch", branch[F.col(kind)]).drop("_rank")
+    # The literal limit reaches the map side: no task sorts more of a kind than any quota.
+    return ranked.filter(F.col("_rank") <= max(quotas.values(), default=0)).filter(F.col("_rank") <= quota[F.col(kind)]).withColumn("branch", branch[F.col(kind)]).drop("_rank")
 
 
 def last_n_chronological(df: DataFrame, key: str, order: Sequence[str], n: int, position: str = "position") -> DataFrame:

@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -91,13 +91,68 @@ def replace_partition(base: DataFrame, incoming: DataFrame, partition: Mapping[s
     return base.filter(~here).unionByName(incoming.filter(here).select(*base.columns))
 
 
-def retain_latest(df: DataFrame, version: str, k: int, pinned: Sequence[object] = ()) -> DataFrame:
-    """Rows of the ``k`` latest versions and of the pinned ones."""
-    latest = df.select(version).distinct().orderBy(F.desc(version)).limit(k)
-    kept = latest.union(df.select(version).distinct().filter(F.col(version).isin(*pinned))).distinct() if pinned else latest
+def retain_latest(df: DataFrame, version: str, k: int, pinned: Sequence[object] = (), ordinal: str | None = None) -> DataFrame:
+    """Rows of the ``k`` latest versions and of the pinned ones.
+
+    The latest are those with the largest ``ordinal`` (text such as 1.9 and 1.10 does not
+    sort by age); without one, the version itself is the order.
+    """
+    versions = df.groupBy(version).agg(F.max(ordinal or version).alias("_age"))
+    latest = versions.orderBy(F.desc("_age"), F.desc(version)).limit(k).select(version)
+    kept = latest.union(versions.select(version).filter(F.col(version).isin(*pinned))).distinct() if pinned else latest
     return df.join(kept, version, "left_semi")
 
 
+def upsert_with_ids(base: DataFrame, incoming: DataFrame, version: str, key: str, ident: str) -> DataFrame:
+    """Keyed upsert on (version, natural key) that keeps known surrogate ids and gives out new ones.
+
+    Incoming columns win; new rows get ids above the largest, by version and key. Only
+    one number per version meets in a window, and rows only within their version.
+    ``version``, ``key`` and ``ident`` of the result are the id map.
+    """
+    on = [version, key]
+    known = base.select(*on, ident)
+    merged = incoming.join(known, on, "left").select(*base.columns)
+    fresh, old = merged.filter(F.col(ident).isNull()), merged.filter(F.col(ident).isNotNull())
+    counts = fresh.groupBy(version).agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.orderBy(version).rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select(version, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    top = base.agg(F.coalesce(F.max(ident), F.lit(0)).alias("_top"))  # one row
+    numbered = fresh.join(starts, version).crossJoin(F.broadcast(top)).withColumn("_r", F.row_number().over(Window.partitionBy(version).orderBy(key)))
+    given = numbered.withColumn(ident, F.col("_top") + F.col("_start") + F.col("_r")).select(*base.columns)
+    return missing_from(base, incoming.select(*on), on).unionByName(old).unionByName(given)
+
+
+def resolve_ids(df: DataFrame, id_map: DataFrame, on: Sequence[str], ident: str) -> DataFrame:
+    """``df`` with the surrogate id of its natural key; rows without one go."""
+    return df.join(id_map.select(*on, ident), list(on))
+
+
+def unexpired(df: DataFrame, created: str, now: Column, ttl: Column) -> DataFrame:
+    """Rows created less than ``ttl`` (an interval) before ``now``."""
+    return df.filter(F.col(created) + ttl > now)
+
+
+def invalidate(cache: DataFrame, version: str, current: Column) -> DataFrame:
+    """The cached rows of the current version; all others go."""
+    return cache.filter(F.col(version) == current)
+
+
+def with_elements(df: DataFrame, array: str) -> DataFrame:
+    """Rows whose array has an element; null and empty ones go."""
+    return df.filter(F.size(F.coalesce(array, F.array().cast(dict(df.dtypes)[array]))) > 0)
+
+
+def distinct_elements(df: DataFrame, array: str, out: str) -> DataFrame:
+    """Every different element of an array column."""
+    return df.select(F.explode(array).alias(out)).distinct()
+
+
+def union_of_names(*names: tuple[DataFrame, str], out: str = "name") -> DataFrame:
+    """Every different name, not null, of any of the columns."""
+    return reduce(DataFrame.union, [df.select(F.col(c).alias(out)) for df, c in names]).filter(F.col(out).isNotNull()).distinct()
+
+
 def collect_children(parents: DataFrame, children: DataFrame, on: Sequence[str], order: Sequence[str], value: str, out: str) -> DataFrame:
     """Each parent with the ordered list of its children's ``value`` (empty if none).
 

@@ -88,9 +88,12 @@ def sha_cache_key(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _scored_names(spark: SparkSession, sf_dir: str, score) -> DataFrame:
-    """Parts with a score of their name; each distinct name is scored once."""
+    """Parts with a score of their name (column ``name`` in ``score``); each distinct name is scored once.
+
+    The name to score is an aggregate, so that no filter on the score moves below the grouping.
+    """
     parts = table(spark, sf_dir, "part").select("p_partkey", "p_name")
-    return parts.join(parts.select("p_name").distinct().withColumn("score", score), "p_name")
+    return parts.join(parts.groupBy("p_name").agg(F.any_value("p_name").alias("name")).select("p_name", score.alias("score")), "p_name")
 
 
 @query("""
@@ -99,7 +102,7 @@ n AS (SELECT p_partkey, list_distinct(list_filter(string_split(lower(p_name), ''
 SELECT p_partkey, CASE WHEN len(l) > 0 THEN CAST(len(list_intersect(l, q)) AS DOUBLE) / len(l) ELSE 0.0 END AS overlap FROM n, q
 """)
 def char_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scored = _scored_names(spark, sf_dir, similarity.char_overlap(F.col("p_name"), F.lit(QUERY_TEXT)))
+    scored = _scored_names(spark, sf_dir, similarity.char_overlap(F.col("name"), F.lit(QUERY_TEXT)))
     return scored.select("p_partkey", F.col("score").alias("overlap"))
 
 
@@ -113,7 +116,7 @@ s AS (SELECT p_name, max(CAST(k AS DOUBLE) / (na + nb - k)) AS score FROM x GROU
 SELECT p_partkey, p_name, score FROM part JOIN s USING (p_name) WHERE score >= 0.4 ORDER BY score DESC, p_partkey LIMIT 15
 """)
 def trigram_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scored = _scored_names(spark, sf_dir, similarity.word_similarity(F.col("p_name"), F.lit(QUERY_TEXT)))
+    scored = _scored_names(spark, sf_dir, similarity.word_similarity(F.col("name"), F.lit(QUERY_TEXT)))
     return search.search(scored.filter("score >= 0.4"), [F.desc("score"), F.col("p_partkey")], 15).select("p_partkey", "p_name", "score")
 
 
