@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -55,3 +56,9 @@ def converted_within(events: DataFrame, key: str, ts: str, first: Column, action
     eligible = each.filter(now - F.col("first_ts") >= F.col("_w"))
     done = F.coalesce(F.col("_late") <= F.col("_w"), F.lit(False)).cast("long")
     return eligible.groupBy("hours").agg(F.count(F.lit(1)).alias("eligible"), F.sum(done).alias("converted"), (F.avg(done) * 100).alias("percent"))
+
+
+def summary(**metrics: DataFrame) -> DataFrame:
+    """One row with a struct for each named one-row frame; joined by a union and one aggregation of a handful of rows."""
+    rows = [m.select(*[F.struct(*m.columns).alias(n) if n == name else F.lit(None).cast(other.schema).alias(n) for n, other in metrics.items()]) for name, m in metrics.items()]
+    return reduce(DataFrame.unionAll, rows).agg(*[F.first(n, ignorenulls=True).alias(n) for n in metrics])

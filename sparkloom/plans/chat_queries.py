@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sparkloom.functions import text
-from sparkloom.operators import ranking, relational
+from sparkloom.operators import chat, ranking, relational
 from sparkloom.plans.registry import query, table
+from sparkloom.plans.text_queries import TOPICS
 
 
 def _messages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -211,3 +212,55 @@ def retention_by_ordinal(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Versions such as 1.9 and 1.10 kept by age, not by text."""
     events = table(spark, sf_dir, "events").select("event_id", F.concat(F.lit("1."), F.dayofmonth("ts").cast("string")).alias("version"), F.dayofmonth("ts").alias("age"))
     return relational.retain_latest(events, "version", 3, ["1.2"], ordinal="age").select("event_id", "version")
+
+
+_EXCHANGES = """
+WITH m AS (SELECT *, CASE WHEN lead(role) OVER w = 'assistant' THEN lead(text) OVER w END AS answer FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
+x AS (SELECT conv_id, turn, text AS q, answer, row_number() OVER w = 1 AS first_turn, lag(answer) OVER w AS last_answer,
+        list(concat_ws(' -> ', text, answer)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING) AS history
+      FROM m WHERE role = 'user' WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
+"""
+
+
+def _exchanges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.exchanges(_messages(spark, sf_dir), "conv_id", "turn", "role", "text")
+
+
+@query(_EXCHANGES + r"""
+cache AS (SELECT q AS cq, min(answer) AS cached FROM x WHERE first_turn AND length(answer) < 1000 GROUP BY q),
+y AS (SELECT *, nullif(length(q) % 17, 0) AS version, CAST(regexp_matches(q, 'price|cost|euro') AS INTEGER) + CAST(regexp_matches(q, 'when|heur|time') AS INTEGER) + CAST(regexp_matches(q, 'where|land|vill') AS INTEGER) AS n
+      FROM x LEFT JOIN cache ON q = cq),
+z AS (SELECT *, coalesce(CASE WHEN n = 1 AND NOT regexp_matches(q, 'why|pourquoi') THEN CASE WHEN regexp_matches(q, 'price|cost|euro') THEN 'price' WHEN regexp_matches(q, 'when|heur|time') THEN 'time' ELSE 'place' END END,
+        CASE WHEN contains(q, 'ç') THEN 'web' WHEN contains(q, 'ä') THEN 'builds' WHEN contains(q, 'ö') THEN NULL END, 'general') AS intent FROM y)
+SELECT conv_id, turn, CASE WHEN coalesce(trim(q), '') = '' THEN 'clarify' WHEN regexp_matches(q, '^(Who|Qui|Wer)') THEN 'meta' WHEN contains(q, 'ß') THEN 'language_notice'
+  WHEN NOT regexp_matches(q, 'the|der|les|des') AND answer IS NOT NULL AND length(q) < 60 THEN 'refusal' WHEN version IS NULL THEN 'no_version'
+  WHEN contains(q, 'le') AND NOT contains(q, 'ment') AND (contains(q, 'que') OR regexp_matches(trim(regexp_replace(q, '[?!？！ ]+$', '')), '^(?:le version)$')) THEN 'version'
+  WHEN n >= 2 THEN 'multi_topic' WHEN first_turn AND cached IS NOT NULL THEN 'cached' WHEN intent = 'web' THEN 'web_search' WHEN intent = 'price' THEN 'model_only'
+  WHEN intent = 'builds' AND NOT first_turn AND contains(last_answer, 'ung') THEN 'lookup' ELSE 'search' END AS branch,
+  coalesce(first_turn AND length(answer) >= 300 AND n > 0, false) AS to_cache FROM z
+""")
+def answer_branches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    asked, q, version = _exchanges(spark, sf_dir), F.col("question"), F.lit("16.1")
+    known = asked.filter(F.col("first_turn") & (F.length("answer") < 1000))
+    cache = known.groupBy(text.cache_key(q, version).alias("key")).agg(F.min("answer").alias("answer"))
+    found = text.all_topics(q, TOPICS)
+    told = F.when(q.contains("ç"), F.lit("web")).when(q.contains("ä"), F.lit("builds")).when(q.contains("ö"), F.lit("nonsense"))
+    branch = chat.answer_branch(
+        q, meta=q.rlike("^(Who|Qui|Wer)"), foreign=q.contains("ß"), off_topic=text.off_topic(q, "the|der|les|des"), confirmed=F.when(F.col("answer").isNotNull(), F.length(q) < 60),
+        version=F.nullif(F.length(q) % 17, F.lit(0)), asks_version=text.asks_version(q, "le", ["ment"], ["que"], "le version"), topics=found, first_turn=F.col("first_turn"), cached=F.col("cached"),
+        intent=chat.chosen_intent(text.single_topic(q, TOPICS, "why|pourquoi"), told, ["web", "builds"]), last_ids=F.regexp_extract_all("last_answer", F.lit("(ung)")),
+        direct={"web": "web_search", "price": "model_only"}, follow_up="builds",
+    )
+    to_cache = chat.cacheable(F.col("first_turn"), F.length("answer") < 300, found)
+    return chat.with_cached(asked, "question", version, cache).select("conv_id", "turn", branch.alias("branch"), to_cache.alias("to_cache"))
+
+
+@query(_EXCHANGES + r"""
+y AS (SELECT *, list_filter([CASE WHEN regexp_matches(q, 'price|cost|euro') THEN 'price' END, CASE WHEN regexp_matches(q, 'when|heur|time') THEN 'time' END, CASE WHEN regexp_matches(q, 'where|land|vill') THEN 'place' END], lambda v: v IS NOT NULL) AS topics FROM x)
+SELECT conv_id, turn, CASE WHEN len(history) > 0 THEN '[earlier]' || chr(10) || array_to_string(history, chr(10)) || chr(10) || chr(10) ELSE '' END
+  || CASE WHEN len(topics) > 0 THEN '[topics]' || chr(10) || array_to_string(topics, chr(10)) || chr(10) || chr(10) ELSE '' END || q AS prompt FROM y
+""")
+def prompt_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    earlier = F.transform("history", lambda x: F.concat_ws(" -> ", x["question"], x["answer"]))
+    sections = [("earlier", earlier), ("topics", text.all_topics(F.col("question"), TOPICS))]
+    return _exchanges(spark, sf_dir).select("conv_id", "turn", chat.prompt(sections, F.col("question")).alias("prompt"))

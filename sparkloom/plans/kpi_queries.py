@@ -116,3 +116,25 @@ SELECT event_id, CAST(json_extract(props, '$.k') AS INTEGER) AS k FROM events WH
 def json_props(spark: SparkSession, sf_dir: str) -> DataFrame:
     typed = table(spark, sf_dir, "events").select("event_id", F.from_json("props", "k int")["k"].alias("k"))
     return typed.filter(F.col("k") >= 5)
+
+
+@query(f"""
+WITH u AS ({_COHORT}), e AS (SELECT * FROM events), shown AS (SELECT user_id FROM e WHERE event_type = 'view' AND value > 40),
+c AS (SELECT (SELECT count(*) FROM shown) AS exposed, count(*) AS acted FROM e WHERE event_type = 'click' AND user_id IN (SELECT user_id FROM shown))
+SELECT avg(value) FILTER (WHERE event_type = 'purchase') / 60 AS freshness_mean, count(value) FILTER (WHERE event_type = 'purchase') AS freshness_n,
+       avg(CASE WHEN value > 10 THEN 1.0 WHEN value IS NOT NULL THEN 0.0 END) * 100 AS grounding_mean, count(value) AS grounding_n,
+       (SELECT exposed FROM c) AS exposed, (SELECT acted FROM c) AS acted, (SELECT 100.0 * acted / nullif(exposed, 0) FROM c) AS conversion_percent,
+       (SELECT percent FROM u WHERE hours = 6) AS early_percent, (SELECT percent FROM u WHERE hours = 24) AS late_percent, quantile_cont(value, 0.5) AS p50, quantile_cont(value, 0.95) AS p95 FROM e
+""")
+def kpi_five_structs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events, kind, value = table(spark, sf_dir, "events"), F.col("event_type"), F.col("value")
+    cohort = kpi.converted_within(events, "user_id", "ts", kind == "signup", kind == "purchase", [6, 24], F.expr("TIMESTAMP_NTZ '2024-01-31 00:00:00'"))
+    all_five = kpi.summary(
+        freshness=kpi.filtered_mean(events, value, kind == "purchase", 1 / 60), grounding=kpi.filtered_mean(events, (value > 10).cast("double"), scale=100),
+        conversion=kpi.funnel(events.filter((kind == "view") & (value > 40)), events.filter(kind == "click"), ["user_id"]),
+        usage=cohort.agg(*[F.max(F.when(F.col("hours") == h, F.col("percent"))).alias(n) for h, n in ((6, "early"), (24, "late"))]),
+        latency=kpi.interp_percentiles(events, "value", {"p50": 0.5, "p95": 0.95}),
+    )
+    names = {"freshness.mean": "freshness_mean", "freshness.n": "freshness_n", "grounding.mean": "grounding_mean", "grounding.n": "grounding_n", "conversion.exposed": "exposed", "conversion.acted": "acted"}
+    names |= {"conversion.percent": "conversion_percent", "usage.early": "early_percent", "usage.late": "late_percent", "latency.p50": "p50", "latency.p95": "p95"}
+    return all_five.select(*[F.col(c).alias(n) for c, n in names.items()])
