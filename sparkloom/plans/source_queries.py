@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sparkloom.functions import wording
 from sparkloom.operators import corpus
 from sparkloom.plans.registry import query, table
 from sparkloom.sources import decode, snapshots
@@ -74,3 +75,28 @@ def corpus_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
         corpus.branch(customers.filter(wanted), "customer", "customer", "c_custkey", F.concat_ws(": ", "c_name", "c_mktsegment"), name=F.col("c_name")),
         corpus.branch(best, "line", "lineitem", "l_orderkey", names, items=names),
     ])
+
+
+@query("""
+WITH p AS (SELECT *, p_retailprice / 1000 AS place, CASE WHEN p_size % 2 = 1 THEN p_size / CAST(97 AS DOUBLE) END AS win, p_size / CAST(61 AS DOUBLE) AS play,
+  CASE WHEN p_size > 10 THEN '' ELSE ' (old)' END AS notice, CASE WHEN p_size % 3 = 0 THEN '정보 없음' ELSE p_brand || ', ' || p_type END AS listing FROM part)
+SELECT 'comp' AS doc_type, p_partkey AS source_id, p_name || ' 조합(티어 ' || p_size || '): 평균 등수 ' || printf('%.2f', place) || ', 승률 ' || coalesce(printf('%.1f%%', win * 100), '정보 없음')
+  || ', 픽률 ' || printf('%.1f%%', play * 100) || '. 구성: ' || p_brand || CASE WHEN p_size > 25 THEN '(캐리)' ELSE '' END || ', ' || p_type || '. ' || p_type || notice AS content_text FROM p
+UNION ALL SELECT 'playstyle', p_partkey, p_name || ' 조합 플레이 스타일: ' || p_type || notice FROM p
+UNION ALL SELECT 'augment', p_partkey, p_name || '(' || p_brand || ' 등급) 증강체: ' || p_type FROM p
+UNION ALL SELECT 'champion', p_partkey, p_name || '(' || p_size || '코스트) 챔피언. 특성: ' || listing || '.' FROM p
+UNION ALL SELECT 'item', p_partkey, p_name || ': ' || p_type || CASE WHEN p_size % 5 = 0 THEN '' ELSE ' (스탯: ' || p_brand || ')' END FROM p
+UNION ALL SELECT 'item_build', p_partkey, p_name || ' 아이템 빌드: ' || listing || '. 승률 ' || printf('%.1f%%', play * 100) || ', 픽률 ' || printf('%.1f%%', play * 100) || ', 평균 등수 ' || printf('%.2f', place) FROM p
+""")
+def document_wordings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each part worded as each of the six kinds of search document."""
+    parts = table(spark, sf_dir, "part")
+    name, size, kind, brand = (F.col(f"p_{c}") for c in ("name", "size", "type", "brand"))
+    place, win, play, active = F.col("p_retailprice") / 1000, F.when(size % 2 == 1, size / F.lit(97.0)), size / F.lit(61.0), size > 10
+    members = F.array(F.struct(brand.alias("name"), (size > 25).alias("is_carry")), F.struct(kind.alias("name"), F.lit(False).alias("is_carry")))
+    some = F.when(size % 3 == 0, F.array().cast("array<string>")).otherwise(F.array(brand, kind))
+    worded = {
+        "comp": wording.comp(name, size, place, win, play, members, kind, active, " (old)"), "playstyle": wording.playstyle(name, kind, active, " (old)"), "augment": wording.augment(name, brand, kind),
+        "champion": wording.champion(name, size, some), "item": wording.item(name, kind, F.when(size % 5 == 0, F.lit("")).otherwise(brand)), "item_build": wording.item_build(name, some, play, play, place),
+    }
+    return corpus.corpus([corpus.branch(parts, k, "part", "p_partkey", text) for k, text in worded.items()]).drop("source_table")

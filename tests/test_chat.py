@@ -5,7 +5,7 @@ from http.server import BaseHTTPRequestHandler, HTTPServer
 import pytest
 from pyspark.sql import functions as F
 
-from sparkloom.functions import text
+from sparkloom.functions import text, wording
 from sparkloom.operators import chat, kpi
 from sparkloom.sources import decode, remote
 
@@ -90,3 +90,14 @@ def test_one_call_for_each_key(spark, server):
         remote.call_each(keys.select(F.lit("broken").alias("id")), "id", url, "tool", "id", backoff=0.01).collect()
     with pytest.raises(ValueError, match="not an HTTP address"):
         remote.Session("file:///etc/hosts")
+
+
+def test_wordings_by_hand(spark):
+    no = F.array().cast("array<string>")
+    members = F.array(F.struct(F.lit("A").alias("name"), F.lit(True).alias("is_carry")), F.struct(F.lit("B").alias("name"), F.lit(False).alias("is_carry")))
+    got = spark.range(1).select(
+        wording.comp(F.lit("N"), F.lit("S"), F.lit(4.125), F.lit(None).cast("double"), F.lit(0.0125), members, F.lit("fast"), F.lit(False), "!"), wording.champion(F.lit("N"), F.lit(3), no),
+        wording.item(F.lit("N"), F.lit("d"), F.lit("")), wording.item(F.lit("N"), F.lit("d"), F.lit("s")), wording.percent(F.lit(0.0625)), wording.filled("{a}-{b}", a=F.lit(1), b=F.lit(None)),
+    ).first()
+    comp = f"N 조합(티어 S): 평균 등수 {4.125:.2f}, 승률 정보 없음, 픽률 {0.0125:.1%}. 구성: A(캐리), B. fast!"
+    assert tuple(got) == (comp, "N(3코스트) 챔피언. 특성: 정보 없음.", "N: d", "N: d (스탯: s)", f"{0.0625:.1%}", None)
