@@ -86,3 +86,25 @@ def test_near_duplicates(spark):
     got = {r["doc_id"]: r["component_id"] for r in fp.near_duplicates(df).collect()}
     assert got == {4: 2, 2: 2, 9: 2, 7: 7, 1: 1, 8: 1, None: 2}
     assert fp.near_duplicates(df.limit(0)).count() == 0
+
+
+def test_near_duplicates_recall(spark):
+    """Pairs at likeness 0.8 and more, by comparing all: 0.9 or more of them are linked, and no others are."""
+    rng = random.Random(9)
+    texts = []
+    for i in range(150):
+        size = rng.choice([60, 200, 900, 2500])
+        base = "".join(rng.choices("abcdefghijklmnop ", k=size))
+        keep = size - int(size * rng.uniform(0.0, 0.25))
+        texts += [base, base[:keep] + "".join(rng.choices("abcdefghijklmnop ", k=size - keep))]
+    prints = fp.fingerprint_texts(texts)
+    pairs = [(i, j) for i in range(len(texts)) for j in range(i) if fp.likeness(prints[i], prints[j]) >= 0.8]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in fp.near_duplicates(df).collect()}
+    found = sum(got[i] == got[j] for i, j in pairs)
+    assert len(pairs) > 50 and found >= 0.9 * len(pairs)
+    exact = list(range(len(texts)))
+    for i, j in sorted(pairs):  # plain labels: the smallest number reachable
+        low, high = sorted((exact[i], exact[j]))
+        exact = [low if x == high else x for x in exact]
+    assert all(exact[i] == exact[got[i]] for i in got)
