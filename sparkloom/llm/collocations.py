@@ -8,9 +8,9 @@ their last word, then by the word before, and so on, with sizes of groups as end
 counts. Every state spells its substrings, from the length after its suffix link's up to
 its own; these counts are added up over all shards.
 
-Words and pairs are counted first. Triples can only be frequent where both their pairs
-are, so the second pass builds the automata over the stretches of frequent pairs; it
-knows these from a bitmap of fixed size, which may let a rare pair pass but drops none.
+Shards hand their phrases over in packs, one for each block of the phrases' hash range,
+ordered so that phrases with one beginning stand together. All packs of a block meet in
+one task, which adds up the counts of equal phrases and keeps the frequent ones.
 """
 
 from __future__ import annotations
@@ -30,12 +30,13 @@ from sparkloom.llm.common import materialize, shuffle_partitions
 PIECE_ENDS = (0x2E, 0x2C, 0x3B, 0x3A, 0x21, 0x3F, 0x0A, 0x0B, 0x0C, 0x0D)
 SPACES = (0x20, 0x09)
 #: Text bytes in a shard (one longer text is one shard).
-SHARD_BYTES = 12 << 20
-#: Bits that tell frequent pairs; more pairs make it pass more, and miss none.
-BITMAP_BITS = 1 << 27
+SHARD_BYTES = 6 << 20
+#: Stands for all words of a lang among the packed phrases, which hold none of it.
+ALL = "\r"
 
 _WORD = separators(*((b, b) for b in PIECE_ENDS + SPACES))
 _ENDS = ~separators(*((b, b) for b in PIECE_ENDS))
+_LINE = separators((0x0A, 0x0A))
 
 COUNTS = "lang string, phrase string, words int, f long"
 
@@ -98,16 +99,39 @@ class _Shard:
         self.follows[1:] = (piece[1:] == piece[:-1]) & (document[1:] == document[:-1])
         self.token = np.unique(self.lang * max(1, len(self.words)) + self.word, return_inverse=True)[1].astype(np.int64)
 
-    def bits(self, bits: int) -> np.ndarray:
-        """Each word's bit of the bitmap, for the pair that it ends."""
-        words, langs = _hashes(self.words), _hashes(self.langs)
-        return pair_bits(langs[self.lang[1:]], words[self.word[:-1]], words[self.word[1:]], bits)
-
-    def rows(self, ends: np.ndarray, counts: np.ndarray, words: int) -> pa.RecordBatch:
-        """Phrases of so many words that end at ``ends``, as rows of COUNTS."""
-        phrase = pa.array(np.full(len(ends), ""), pa.utf8()) if not words else pc.binary_join_element_wise(*[self.words.take(pa.array(self.word[ends - words + 1 + i])) for i in range(words)], " ")
-        lang = self.langs.take(pa.array(self.lang[ends]))
-        return pa.RecordBatch.from_arrays([lang, phrase, pa.array(np.full(len(ends), words), pa.int32()), pa.array(counts, pa.int64())], names=["lang", "phrase", "words", "f"])
+        self._hash = _hashes(self.words)[self.word]
+        self._lang_hash = _hashes(self.langs)[self.lang]
+
+    def blocks(self, first: np.ndarray, pairs: bool, blocks: int) -> np.ndarray:
+        """Block of phrases by their first word, or their first two, which start at ``first``."""
+        mixed = (self._lang_hash[first] ^ self._hash[first]) * np.uint64(0x9E3779B97F4A7C15)
+        if pairs:
+            mixed = (mixed ^ (mixed >> np.uint64(31)) ^ self._hash[first + 1]) * np.uint64(0x165667B19E3779F9)
+        return ((((mixed ^ (mixed >> np.uint64(29))) >> np.uint64(32)) * np.uint64(blocks)) >> np.uint64(32)).astype(np.int64)
+
+    def phrases(self, ends: np.ndarray, words: int) -> pa.Array:
+        return pc.binary_join_element_wise(*[self.words.take(pa.array(self.word[ends - words + 1 + i])) for i in range(words)], " ")
+
+    def packs(self, depth: int, blocks: int) -> pa.RecordBatch:
+        """Rows of PACK, one for each block and lang: all substrings of up to ``depth`` words, and the langs' words."""
+        automaton = Automaton(self.token, self.follows, depth)
+        langs, counts = np.unique(self.lang, return_counts=True)
+        groups, phrases, all_counts = [langs], [pa.array([ALL] * len(langs), pa.utf8())], [counts]
+        for words in range(1, depth + 1):
+            ends, counts = automaton.substrings(words)
+            order = np.lexsort([self.token[ends - i] for i in range(words)])
+            ends = ends[order]
+            groups.append(self.blocks(ends - words + 1, words > 1, blocks) * len(self.langs) + self.lang[ends])
+            phrases.append(self.phrases(ends, words))
+            all_counts.append(counts[order])
+        group = np.concatenate(groups)
+        order = np.argsort(group, kind="stable")
+        group, counted = group[order], np.concatenate(all_counts)[order].astype("<u4")
+        edges = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1], [True]]))
+        lists = pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.concat_arrays(phrases).take(pa.array(order)))
+        packed = pa.array([counted[a:b].tobytes() for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)], pa.binary())
+        block, lang = np.divmod(group[edges[:-1]], len(self.langs))
+        return pa.RecordBatch.from_arrays([pa.array(block, pa.int32()), self.langs.take(pa.array(lang)), pc.binary_join(lists, "\n"), packed], names=["block", "lang", "phrases", "counts"])
 
 
 def _hashes(values: pa.Array) -> np.ndarray:
@@ -116,75 +140,51 @@ def _hashes(values: pa.Array) -> np.ndarray:
     return np.array([xxhash.xxh64_intdigest(v) for v in values.to_pylist()], np.uint64)
 
 
-def pair_bits(lang: np.ndarray, first: np.ndarray, second: np.ndarray, bits: int) -> np.ndarray:
-    """A bit number for each (lang, word, word), from their hashes."""
-    mixed = (lang * np.uint64(0x9E3779B97F4A7C15)) ^ (first * np.uint64(0xC2B2AE3D27D4EB4F) + (second >> np.uint64(7)))
-    mixed = (mixed ^ (mixed >> np.uint64(31))) * np.uint64(0x165667B19E3779F9) + second
-    return ((mixed ^ (mixed >> np.uint64(29))) % np.uint64(bits)).astype(np.int64)
-
-
-def _texts(docs: DataFrame) -> DataFrame:
-    return docs.select(F.coalesce(F.col("lang"), F.lit("und")).alias("lang"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+PACK = "block int, lang string, phrases string, counts binary"
 
 
-def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[_Shard]:
-    for batch in batches:
-        for begin, end in runs(batch.column(1), SHARD_BYTES):
-            shard = _Shard(*(batch.column(i).slice(begin, end - begin) for i in range(2)))
-            if len(shard.word):
-                yield shard
+def phrase_counts(docs: DataFrame, depth: int, least: int) -> DataFrame:
+    """COUNTS of phrases of up to ``depth`` words seen ``least`` times or more; with 0 words all words of the lang."""
+    parts = shuffle_partitions(docs.sparkSession)
 
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for begin, end in runs(batch.column(1), SHARD_BYTES):
+                shard = _Shard(*(batch.column(i).slice(begin, end - begin) for i in range(2)))
+                if len(shard.word):
+                    yield shard.packs(depth, parts)
 
-def frequent_to_pairs(docs: DataFrame, least: int) -> DataFrame:
-    """COUNTS of words and pairs seen ``least`` times or more, and with 0 words all words of the lang."""
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for shard in _shards(batches):
-            automaton = Automaton(shard.token, shard.follows, 2)
-            yield shard.rows(*np.unique(shard.lang, return_index=True, return_counts=True)[1:], 0)
-            for words in (1, 2):
-                yield shard.rows(*automaton.substrings(words), words)
-
-    counted = _texts(docs).mapInArrow(work, COUNTS).groupBy("lang", "phrase", "words").agg(F.sum("f").alias("f"))
-    return counted.filter((F.col("f") >= least) | (F.col("words") == 0))
+    def add(held: list[tuple[pa.Array, pa.Array]]) -> tuple[pa.Array, pa.Array]:
+        whole = pa.table([pa.chunked_array([h[i] for h in held]) for i in range(2)], names=["phrase", "f"]).group_by("phrase").aggregate([("f", "sum")]).combine_chunks()
+        return whole.column("phrase").combine_chunks(), whole.column("f_sum").combine_chunks()
 
+    def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here, held, size = None, [], 0
 
-def pair_bitmap(pairs: DataFrame, bits: int = BITMAP_BITS) -> np.ndarray:
-    """Bitmap of the (lang, phrase) rows; at most ``bits / 63`` numbers come back to the driver."""
+        def frequent() -> pa.RecordBatch:
+            phrase, f = add(held)
+            kept = pc.or_(pc.greater_equal(f, least), pc.equal(phrase, ALL))
+            phrase, f = phrase.filter(kept), f.filter(kept)
+            words = pc.if_else(pc.equal(phrase, ALL), pa.scalar(0, pa.int32()), pc.add(pc.count_substring(phrase, " "), pa.scalar(1, pa.int32())))
+            return pa.RecordBatch.from_arrays([pa.array([here[1]] * len(f), pa.utf8()), phrase, words, f], names=["lang", "phrase", "words", "f"])
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            both = pc.split_pattern(batch.column(1), " ")
-            first, second = (pc.list_element(both, i) for i in range(2))
-            at = pair_bits(*map(_hashes, (batch.column(0), first, second)), bits)
-            yield pa.RecordBatch.from_arrays([pa.array(at // 63), pa.array(np.left_shift(1, at % 63))], names=["at", "bits"])
-
-    found = pairs.select("lang", "phrase").mapInArrow(work, "at long, bits long").groupBy("at").agg(F.bit_or("bits").alias("bits")).toArrow()
-    bitmap = np.zeros(bits // 63 + 1, np.int64)
-    bitmap[found.column("at").to_numpy()] = found.column("bits").to_numpy()
-    return bitmap
-
-
-def triples(docs: DataFrame, pairs: DataFrame, least: int, bits: int = BITMAP_BITS) -> DataFrame:
-    """COUNTS of triples seen ``least`` times or more; ``pairs`` are all pairs as frequent."""
-    sent = docs.sparkSession.sparkContext.broadcast(pair_bitmap(pairs, bits))
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bitmap = sent.value
-        for shard in _shards(batches):
-            bit = shard.bits(bits)
-            follows = shard.follows.copy()
-            follows[1:] &= (bitmap[bit // 63] >> (bit % 63)) & 1 == 1
-            stretch = follows.copy()
-            stretch[:-1] |= follows[1:]
-            kept = np.flatnonzero(stretch)
-            if len(kept):
-                automaton = Automaton(shard.token[kept], follows[kept], 3)
-                ends, counts = automaton.substrings(3)
-                yield shard.rows(kept[ends], counts, 3)
-
-    counted = _texts(docs).mapInArrow(work, COUNTS).groupBy("lang", "phrase", "words").agg(F.sum("f").alias("f"))
-    return counted.filter(F.col("f") >= least)
+            for block, lang, phrases, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (block, lang) != here and held:
+                    yield frequent()
+                    held, size = [], 0
+                here = (block, lang)
+                held.append((cut(pa.array([phrases], pa.utf8()), _LINE).words, pa.array(np.frombuffer(counts, "<u4").astype(np.int64))))
+                size += len(held[-1][0])
+                if size > 2 * len(held[0][0]) + (1 << 20):
+                    held = [add(held)]
+                    size = len(held[0][0])
+        if held:
+            yield frequent()
+
+    texts = docs.select(F.coalesce(F.col("lang"), F.lit("und")).alias("lang"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    dealt = texts.mapInArrow(pack, PACK).repartition(parts, "block").sortWithinPartitions("block", "lang")
+    return dealt.mapInArrow(reduce, COUNTS)
 
 
 def top_per_group(df: DataFrame, group: str, order: list[Column], k: int) -> DataFrame:
@@ -212,7 +212,7 @@ def score(a: Column, l: Column, r: Column) -> Column:  # noqa: E741
     return ((product - product % by) / by).cast("long")
 
 
-def mine(docs: DataFrame, least: int = 10, subsumed_percent: int = 50, top: int = 2000, bits: int = BITMAP_BITS) -> DataFrame:
+def mine(docs: DataFrame, least: int = 10, subsumed_percent: int = 50, top: int = 2000) -> DataFrame:
     """The best phrases of two and three words by lang: lang, rank, phrase, a, l, r, n, score.
 
     Pieces end at ``PIECE_ENDS``, words at spaces and tabs; A-Z are lower-cased. A phrase
@@ -224,25 +224,23 @@ def mine(docs: DataFrame, least: int = 10, subsumed_percent: int = 50, top: int
     words; repeated rows count again. Fewer than ``top`` candidates come back whole, and
     an empty table gives no row. Other columns are not read.
     """
-    low = materialize(frequent_to_pairs(docs, least), "phrases")
-    pairs = low.filter(F.col("words") == 2)
-    three = materialize(triples(docs, pairs, least, bits), "phrases")
+    found = materialize(phrase_counts(docs, 3, least), "phrases")
+    pairs, three = (found.filter(F.col("words") == n) for n in (2, 3))
     part = F.split("phrase", " ")
     piece = lambda first, size: F.array_join(F.slice(part, first, size), " ")
     longer = three.select("lang", F.explode(F.array(piece(2, 2), piece(1, 2))).alias("phrase"), "f").groupBy("lang", "phrase").agg(F.max("f").alias("_longer"))
     free = pairs.join(longer, ["lang", "phrase"], "left").filter(~F.coalesce(100 * F.col("_longer") >= subsumed_percent * F.col("f"), F.lit(False)))
-    counts = low.filter(F.col("words").between(1, 2)).select("lang", F.col("phrase").alias("_part"), F.col("f").alias("_f"))
+    counts = found.filter(F.col("words").between(1, 2)).select("lang", F.col("phrase").alias("_part"), F.col("f").alias("_f"))
     cuts = free.select("lang", "phrase", "words", "f").unionByName(three).select(
         "lang", "phrase", F.col("f").alias("a"),
         F.explode(F.when(F.col("words") == 2, F.array(_cut(1, piece(1, 1), piece(2, 1)))).otherwise(F.array(_cut(1, piece(1, 1), piece(2, 2)), _cut(2, piece(1, 2), piece(3, 1))))).alias("cut"),
     ).select("lang", "phrase", "a", "cut.*")
     for side in ("left", "right"):
-        found = counts.select("lang", F.col("_part").alias(side), F.col("_f").alias(side[0]))
-        cuts = cuts.join(found, ["lang", side])
+        cuts = cuts.join(counts.select("lang", F.col("_part").alias(side), F.col("_f").alias(side[0])), ["lang", side])
     scored = cuts.withColumn("score", score(F.col("a"), F.col("l"), F.col("r")))
     best = scored.groupBy("lang", "phrase").agg(F.min(F.struct("score", "k", "a", "l", "r")).alias("c")).select("lang", "phrase", "c.a", "c.l", "c.r", "c.score")
     first = top_per_group(best, "lang", [F.desc("score"), F.desc("a"), F.asc("phrase")], top)
-    words = low.filter(F.col("words") == 0).select("lang", F.col("f").alias("n"))
+    words = found.filter(F.col("words") == 0).select("lang", F.col("f").alias("n"))
     return first.join(words, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
 
 
