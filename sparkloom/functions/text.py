@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -16,10 +15,13 @@ def strip(text: Column) -> Column:
 
 
 def clean_markup(text: Column, placeholder: str = "?") -> Column:
-    """Line-break tags to newlines, ``@...@`` to a placeholder, other tags out, at most one blank line."""
+    """Line-break tags to newlines, ``@...@`` to a placeholder, other tags out, at most one blank line.
+
+    A tag has a letter after ``<`` or ``</``; comparisons and arrows stay.
+    """
     broken = F.regexp_replace(text, r"(?i)<br\s*/?>", "\n")
     filled = F.regexp_replace(broken, r"@[^@]*@", placeholder)
-    return strip(F.regexp_replace(F.regexp_replace(filled, r"<[^>]*>", ""), r"\n{3,}", "\n\n"))
+    return strip(F.regexp_replace(F.regexp_replace(filled, r"</?[a-zA-Z][^<>]*>", ""), r"\n{3,}", "\n\n"))
 
 
 def fill_glossary(text: Column, glossary: Mapping[str, str]) -> Column:
@@ -89,15 +91,15 @@ def warn_ungrounded(text: Column, known: Column, warning: str) -> Column:
 
 
 def mask_rate(text: Column, subject: str, mask: str) -> Column:
-    """A percentage within ten characters after the subject replaced by a mask."""
-    return F.regexp_replace(text, rf"{subject}.{{0,10}}?\d+(?:\.\d+)?\s?%", mask)
+    """A percentage after the subject and up to ten characters, none a ``%`` or newline, replaced by a mask."""
+    return F.regexp_replace(text, rf"{subject}[^%\n]{{0,10}}\d+(?:\.\d+)?%", mask)
 
 
-def drop_markers(text: Column, markers: Sequence[str]) -> Column:
-    """Internal markers, and the empty citation that they leave, taken out; other texts untouched."""
+def drop_markers(text: Column, markers: Sequence[str], citation: str) -> Column:
+    """Internal markers, and then every empty ``citation`` pattern, taken out; texts without a marker untouched."""
     has = reduce(Column.__or__, [text.contains(m) for m in markers])
     bare = reduce(lambda c, m: F.replace(c, F.lit(m), F.lit("")), markers, text)
-    return F.when(has, F.regexp_replace(F.regexp_replace(bare, r"\(\s*\)|\[\s*\]", ""), r"(?U)\s+$", "")).otherwise(text)
+    return F.when(has, F.regexp_replace(F.regexp_replace(bare, citation, ""), r"(?U)\s+$", "")).otherwise(text)
 
 
 def mask_names(text: Column, names: Sequence[str], mask: str) -> Column:
@@ -168,23 +170,6 @@ def parse_sse(body: Column) -> Column:
     return F.transform(frames, lambda x: F.struct(kind(x).alias("event"), F.replace(F.regexp_extract(x, r"(?m)^data: ?(.*)$", 1), F.lit("\\n"), F.lit("\n")).alias("data")))
 
 
-def insert_links(names: Mapping[str, str]):
-    """Column function: single-quoted names become Markdown links by name -> URL.
-
-    The replacement depends on what was matched, which no built-in can express.
-    """
-    import re
-
-    known = dict(names)
-
-    @F.pandas_udf("string")
-    def link(texts: pd.Series) -> pd.Series:
-        one = lambda m: f"[{m[1]}]({known[m[1]]})" if m[1] in known else m[0]
-        return pd.Series([None if t is None else re.sub(r"'([^'\n]+)'", one, t) for t in texts], dtype=object)
-
-    return link
-
-
 def wrapped(text: Column, start: str, end: str) -> Column:
     """The text between two delimiter lines."""
     return F.concat(F.lit(start + "\n"), text, F.lit("\n" + end))
@@ -212,7 +197,7 @@ def without_citations(text: Column, markers: Sequence[str], citation: str) -> Co
     return F.when(none, strip(F.regexp_replace(F.regexp_replace(text, citation, ""), r"[ \t]+", " "))).otherwise(text)
 
 
-def warn_unknown_sources(text: Column, known_urls: Column, warning: str, orphan: str, url: str = r"https?://[^\s)\]]+", trailing: str = r"[.,;:!?]+$") -> Column:
+def warn_unknown_sources(text: Column, known_urls: Column, warning: str, orphan: str, url: str = r"https?://[^\s)\]]+", trailing: str = r"""[.,;:!?)\]'"]+$""") -> Column:
     """The text, with a warning if it has a URL that is not known or a source label without one."""
     urls = F.transform(F.regexp_extract_all(text, F.lit(url), F.lit(0)), lambda u: F.regexp_replace(u, trailing, ""))
     return F.when((F.size(F.array_except(urls, known_urls)) > 0) | text.rlike(orphan), F.concat(text, F.lit("\n\n" + warning))).otherwise(text)
@@ -229,9 +214,9 @@ def emitted_words(text: Column) -> Column:
     return F.transform(words, lambda w, i: F.when(i < F.size(words) - 1, F.concat(w, F.lit(" "))).otherwise(w))
 
 
-def postprocessed(text: Column, markers: Sequence[str], subject: str, rate_mask: str, names: Sequence[str], name_mask: str, known: Column, warning: str) -> Column:
+def postprocessed(text: Column, markers: Sequence[str], citation: str, subject: str, rate_mask: str, names: Sequence[str], name_mask: str, known: Column, warning: str) -> Column:
     """Markers dropped, rates and names masked, then a warning for names that are not known."""
-    return warn_ungrounded(mask_names(mask_rate(drop_markers(text, markers), subject, rate_mask), names, name_mask), known, warning)
+    return warn_ungrounded(mask_names(mask_rate(drop_markers(text, markers, citation), subject, rate_mask), names, name_mask), known, warning)
 
 
 def playstyle(carries: Column, badges: Column, labels: Sequence[tuple[str, str]], otherwise: str) -> Column:

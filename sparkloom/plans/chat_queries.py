@@ -44,15 +44,18 @@ def no_information_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(r"""
-WITH a AS (SELECT page_id, 'see ' || url || '. ' || CASE WHEN page_id % 5 = 0 THEN '[source]' ELSE '[source](x)' END AS answer, CASE WHEN page_id % 3 = 0 THEN 'https://none.example' ELSE url END AS known FROM pages)
-SELECT page_id, answer || CASE WHEN page_id % 5 = 0 OR len(list_filter(list_transform(regexp_extract_all(answer, 'https?://[^\s)\]]+'), lambda u: regexp_replace(u, '[.,;:!?]+$', '')), lambda u: u <> known)) > 0
+WITH a AS (SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'see ' || url || '. ' WHEN 1 THEN '(''' || url || '''); ' WHEN 2 THEN 'at "' || url || '"! ' ELSE '' END || CASE WHEN page_id % 5 = 0 THEN '[source]' ELSE '[source](x)' END AS answer,
+             CASE WHEN page_id % 3 = 0 THEN 'https://none.example' ELSE url END AS known FROM pages)
+SELECT page_id, answer || CASE WHEN page_id % 5 = 0 OR len(list_filter(list_transform(regexp_extract_all(answer, 'https?://[^\s)\]]+'), lambda u: rtrim(u, '.,;:!?)]''"')), lambda u: u <> known)) > 0
   THEN chr(10) || chr(10) || 'unverified' ELSE '' END AS checked FROM a
 """)
 def web_citation_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """URLs bare, in quotes and brackets, or missing, behind labels with and without a link."""
+    at, url = F.col("page_id") % 4, F.col("url")
     label = F.when(F.col("page_id") % 5 == 0, F.lit("[source]")).otherwise(F.lit("[source](x)"))
-    answer = F.concat(F.lit("see "), "url", F.lit(". "), label)
-    known = F.array(F.when(F.col("page_id") % 3 == 0, F.lit("https://none.example")).otherwise(F.col("url")))
-    return table(spark, sf_dir, "pages").select("page_id", text.warn_unknown_sources(answer, known, "unverified", r"\[source\](?!\()").alias("checked"))
+    shown = F.when(at == 0, F.concat(F.lit("see "), url, F.lit(". "))).when(at == 1, F.concat(F.lit("('"), url, F.lit("'); "))).when(at == 2, F.concat(F.lit('at "'), url, F.lit('"! '))).otherwise(F.lit(""))
+    known = F.array(F.when(F.col("page_id") % 3 == 0, F.lit("https://none.example")).otherwise(url))
+    return table(spark, sf_dir, "pages").select("page_id", text.warn_unknown_sources(F.concat(shown, label), known, "unverified", r"\[source\](?!\()").alias("checked"))
 
 
 @query("""
@@ -80,15 +83,19 @@ def substring_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(r"""
-WITH a AS (SELECT p_partkey, '(REF)' || p_name || '''s rate is ' || p_size || '% ''' || p_brand || '''' AS t FROM part),
-b AS (SELECT p_partkey, regexp_replace(replace(t, 'REF', ''), '\(\s*\)|\[\s*\]', '', 'g') AS t FROM a),
-c AS (SELECT p_partkey, replace(regexp_replace(t, 'rate.{0,10}?\d+(?:\.\d+)?\s?%', 'a rate', 'g'), 'widget', 'thing') AS t FROM b)
+WITH a AS (SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN '(see : [REF]) f() [ ] ' WHEN 1 THEN '[REF]' ELSE '(see: ) ' END || p_name || '''s rate is ' || CASE p_size % 4 WHEN 0 THEN 'about 5% or ' WHEN 1 THEN '%' ELSE '' END || p_size || CASE WHEN p_size % 5 = 0 THEN ' %' ELSE '.5%' END || ' ''' || p_brand || '''  ' AS t FROM part),
+b AS (SELECT p_partkey, CASE WHEN contains(t, '[REF]') THEN rtrim(regexp_replace(replace(t, '[REF]', ''), '\(\s*see\s*:\s*\)', '', 'g')) ELSE t END AS t FROM a),
+c AS (SELECT p_partkey, replace(regexp_replace(t, 'rate[^%\n]{0,10}\d+(?:\.\d+)?%', 'a rate', 'g'), 'widget', 'thing') AS t FROM b)
 SELECT p_partkey, CASE WHEN len(list_filter(regexp_extract_all(t, '''([^''\n]+)''', 1), lambda x: x NOT IN ('Brand#1', 'Brand#2'))) > 0 THEN t || chr(10) || chr(10) || 'unknown' ELSE t END AS answer FROM c
 """)
 def postprocess_answer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    answer = F.concat(F.lit("(REF)"), "p_name", F.lit("'s rate is "), F.col("p_size").cast("string"), F.lit("% '"), "p_brand", F.lit("'"))
+    """Answers with markers in and out of citations, and percentages near to and far from their subject."""
+    key, size = F.col("p_partkey"), F.col("p_size")
+    start = F.when(key % 3 == 0, F.lit("(see : [REF]) f() [ ] ")).when(key % 3 == 1, F.lit("[REF]")).otherwise(F.lit("(see: ) "))
+    before = F.when(size % 4 == 0, F.lit("about 5% or ")).when(size % 4 == 1, F.lit("%")).otherwise(F.lit(""))
+    answer = F.concat(start, "p_name", F.lit("'s rate is "), before, size.cast("string"), F.when(size % 5 == 0, F.lit(" %")).otherwise(F.lit(".5%")), F.lit(" '"), "p_brand", F.lit("'  "))
     known = F.array(F.lit("Brand#1"), F.lit("Brand#2"))
-    done = text.postprocessed(answer, ["REF"], "rate", "a rate", ["widget"], "thing", known, "unknown")
+    done = text.postprocessed(answer, ["[REF]"], r"\(\s*see\s*:\s*\)", "rate", "a rate", ["widget"], "thing", known, "unknown")
     return table(spark, sf_dir, "part").select("p_partkey", done.alias("answer"))
 
 

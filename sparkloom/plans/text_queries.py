@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkloom.functions import similarity, text
-from sparkloom.operators import search
+from sparkloom.operators import links, search
 from sparkloom.plans.registry import query, table
 
 QUERY_TEXT = "which small blue widgit or hot gear?"
@@ -18,11 +18,15 @@ def regex_exposure_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(r"""
-SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '<br\s*/?>', chr(10), 'gi'), '@[^@]*@', '?', 'g'), '<[^>]*>', '', 'g'), '\n{3,}', chr(10) || chr(10), 'g'),
-  '^[\s\x0B\x{85}\pZ]+|[\s\x0B\x{85}\pZ]+$', '', 'g') AS clean FROM pages
+WITH h AS (SELECT page_id, html || CASE page_id % 3 WHEN 0 THEN ' if 3 < 5 and 7 > 2, <3 hearts> <-' WHEN 1 THEN chr(10) || '@dmg@<rules>x</rules>' ELSE '' END AS html FROM pages)
+SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '<br\s*/?>', chr(10), 'gi'), '@[^@]*@', '?', 'g'), '</?[a-zA-Z][^<>]*>', '', 'g'), '\n{3,}', chr(10) || chr(10), 'g'),
+  '^[\s\x0B\x{85}\pZ]+|[\s\x0B\x{85}\pZ]+$', '', 'g') AS clean FROM h
 """)
 def clean_html(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "pages").select("page_id", text.clean_markup(F.col("html")).alias("clean"))
+    """Pages, some with comparisons and arrows that are no tags."""
+    at = F.col("page_id") % 3
+    more = F.when(at == 0, F.lit(" if 3 < 5 and 7 > 2, <3 hearts> <-")).when(at == 1, F.lit("\n@dmg@<rules>x</rules>")).otherwise(F.lit(""))
+    return table(spark, sf_dir, "pages").select("page_id", text.clean_markup(F.concat("html", more)).alias("clean"))
 
 
 @query(r"""
@@ -120,12 +124,29 @@ def trigram_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.search(scored.filter("score >= 0.4"), [F.desc("score"), F.col("p_partkey")], 15).select("p_partkey", "p_name", "score")
 
 
-@query()
+@query(r"""
+WITH w AS (SELECT conv_id, turn, text, regexp_extract(text, '^(\pL+)', 1) AS a, regexp_extract(text, '(\pL+)\PL*$', 1) AS b FROM conversations),
+n AS (
+  SELECT conv_id, a AS name, turn, 0 AS slot, CASE WHEN turn % 3 = 0 THEN '/decks?id=' || turn WHEN turn % 3 = 1 THEN '/builds?hero=' || turn ELSE '/extras' END AS url FROM w WHERE turn % 4 <> 3
+  UNION ALL SELECT conv_id, b, turn, 1, '/builds?hero=' || length(b) FROM w WHERE turn % 4 <> 3 AND turn % 3 = 1),
+t AS (SELECT conv_id, map_from_entries(list((name, url))) AS m FROM (SELECT conv_id, name, arg_min(url, (turn, slot)) AS url FROM n WHERE name <> '' GROUP BY conv_id, name) GROUP BY conv_id),
+x AS (SELECT w.conv_id, turn, m, '''' || a || ''' or ''' || b || ''': ' || text || chr(10) || '-  ' || b || ' : more' || chr(10) || '- ''' || a || ''': and' || chr(10) || '- none: ' || a AS t FROM w LEFT JOIN t USING (conv_id)),
+q AS (SELECT conv_id, turn, m, regexp_split_to_array(t, '''[^'']+''') AS p, regexp_extract_all(t, '''([^'']+)''', 1) AS g FROM x),
+r AS (SELECT conv_id, turn, m, p[1] || array_to_string(list_transform(g, lambda n, i: coalesce('[' || n || '](' || m[n] || ')', '''' || n || '''') || p[i + 1]), '') AS t FROM q),
+l AS (SELECT conv_id, turn, m, regexp_split_to_array(t, '(?m)^-\s+[^:\n]+?:') AS p, regexp_extract_all(t, '(?m)^-\s+([^:\n]+?):', 1) AS g, regexp_extract_all(t, '(?m)^-\s+([^:\n]+?):') AS h FROM r)
+SELECT conv_id, turn, p[1] || array_to_string(list_transform(g, lambda n, i: coalesce(CASE WHEN n LIKE '[%' THEN NULL ELSE '- [' || trim(n) || '](' || m[trim(n)] || '):' END, h[i]) || p[i + 1]), '') AS linked FROM l
+""")
 def insert_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    first = F.regexp_extract("text", r"^(\w+)", 1)
-    quoted = F.concat(F.lit("'"), first, F.lit("' "), F.col("text"))
-    linked = text.insert_links({"The": "/items?id=1", "La": "/items?id=2"})(quoted)
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", linked.alias("linked"))
+    """Answers that quote and list names, linked by the documents found for their conversation."""
+    first, last = F.regexp_extract("text", r"^(\p{L}+)", 1), F.regexp_extract("text", r"(\p{L}+)\P{L}*$", 1)
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text", first.alias("a"), last.alias("b"))
+    kind = F.when(F.col("turn") % 3 == 0, F.lit("deck")).when(F.col("turn") % 3 == 1, F.lit("build")).otherwise(F.lit("extra"))
+    docs = turns.filter("turn % 4 <> 3").withColumns({"kind": kind, "source": F.when(kind == "deck", F.lit("decks"))})
+    url = links.page_url(F.col("source"), F.col("kind"), F.col("turn"), {"decks": "/decks?id={}"}, {"build": "/builds?hero={}", "extra": "/extras"})
+    hero = F.when(F.col("kind") == "build", links.page_url(F.col("source"), F.col("kind"), F.length("b"), {}, {"build": "/builds?hero={}"}))
+    answer = F.concat(F.lit("'"), "a", F.lit("' or '"), "b", F.lit("': "), "text", F.lit("\n-  "), "b", F.lit(" : more\n- '"), "a", F.lit("': and\n- none: "), "a")
+    linked = links.with_links(turns.withColumn("t", answer), docs, ["conv_id"], ["turn"], [(F.col("a"), url), (F.col("b"), hero)], "t", "linked")
+    return linked.select("conv_id", "turn", "linked")
 
 
 @query("""
