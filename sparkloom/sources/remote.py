@@ -11,6 +11,7 @@ from urllib.request import Request, urlopen
 import pandas as pd
 from pyspark.sql import DataFrame
 
+#: Version, method and header names are the public protocol's (fixed values).
 PROTOCOL = "2025-03-26"
 
 
