@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from sparkloom.functions import wording
 from sparkloom.operators import corpus
 from sparkloom.plans.registry import query, table
-from sparkloom.sources import decode, snapshots
+from sparkloom.sources import decode, incremental, snapshots
 
 
 @query("SELECT c_custkey, c_mktsegment, c_acctbal FROM customer")
@@ -100,3 +100,20 @@ def document_wordings(spark: SparkSession, sf_dir: str) -> DataFrame:
         "champion": wording.champion(name, size, some), "item": wording.item(name, kind, F.when(size % 5 == 0, F.lit("")).otherwise(brand)), "item_build": wording.item_build(name, some, play, play, place),
     }
     return corpus.corpus([corpus.branch(parts, k, "part", "p_partkey", text) for k, text in worded.items()]).drop("source_table")
+
+
+@query("""
+WITH p AS (SELECT CAST(p_partkey AS BIGINT) AS source_id, CASE p_size % 3 WHEN 0 THEN 'comp' WHEN 1 THEN 'playstyle' ELSE 'item' END AS doc_type, p_name AS content, p_retailprice AS price FROM part)
+SELECT doc_type, source_id, CASE WHEN doc_type <> 'item' AND source_id % 7 = 0 AND source_id % 11 <> 0 THEN content || ' (new)' ELSE content END AS content,
+  price, doc_type = 'item' OR source_id % 11 <> 0 OR source_id % 13 = 0 AS is_active FROM p WHERE source_id % 13 <> 0 OR doc_type <> 'item' AND source_id % 11 <> 0
+""")
+def incremental_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents of two kinds refreshed in place, new ones added and missing ones set inactive; the third kind stays."""
+    kind = F.when(F.col("p_size") % 3 == 0, "comp").when(F.col("p_size") % 3 == 1, "playstyle").otherwise("item")
+    docs = table(spark, sf_dir, "part").select(kind.alias("doc_type"), F.col("p_partkey").cast("long").alias("source_id"), F.col("p_name").alias("content"), F.col("p_retailprice").alias("price"), F.lit(True).alias("is_active"))
+    path, keys = snapshots.shared_folder(spark, "refreshed"), ["doc_type", "source_id"]
+    incremental.publish(docs.filter("source_id % 13 <> 0"), path, "1.1", keys)
+    renamed = F.when(F.col("source_id") % 7 == 0, F.concat("content", F.lit(" (new)"))).otherwise(F.col("content"))
+    upstream = docs.filter("source_id % 11 <> 0").withColumn("content", renamed)
+    incremental.refresh(spark, path, "1.1", upstream, keys, "doc_type", ["comp", "playstyle"], {"is_active": F.lit(False)})
+    return incremental.read(spark, path, "1.1", keys)
