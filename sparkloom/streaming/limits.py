@@ -6,8 +6,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import LongType, StructField, StructType
 
 
@@ -55,23 +56,57 @@ def fixed_window_limit(events: DataFrame, key: str, ts: str, tiebreak: str, limi
     return ordered.mapInPandas(work, schema).withColumn("allowed", F.col("seen") <= limit)
 
 
-def limit_stream(events: DataFrame, key: str, ts: str, tiebreak: str, limit: int, seconds: int) -> DataFrame:
+class _OpenWindow(StatefulProcessor):
+    """The open window of one key: its start and number of events, until the watermark has passed it."""
+
+    def __init__(self, key: str, tiebreak: str, limit: int, width: int) -> None:
+        self.key, self.tiebreak, self.limit, self.width = key, tiebreak, limit, width
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.window = handle.getValueState("window", "start long, n long")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        start, n = self.window.get() if self.window.exists() else (0, 0)
+        before = start if n else None
+        events = pd.concat([r[["us__", self.tiebreak]] for r in rows]).sort_values(["us__", self.tiebreak])
+        seen, start, n = _walk(events["us__"].to_numpy(), self.width, start, n)
+        self.window.update((start, n))
+        if before != start:
+            if before is not None:
+                self.handle.deleteTimer(self._end(before))
+            self.handle.registerTimer(self._end(start))
+        yield pd.DataFrame({self.key: [key[0]] * len(events), self.tiebreak: events[self.tiebreak].to_numpy(), "seen": seen, "allowed": seen <= self.limit})
+
+    def _end(self, start: int) -> int:
+        return -(-(start + self.width) // 1000)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        # No event of this window can come any more, and the next one opens a new window.
+        if self.window.exists() and self._end(self.window.get()[0]) <= expiredTimerInfo.getExpiryTimeInMs():
+            self.window.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+def limit_stream(events: DataFrame, key: str, ts: str, tiebreak: str, limit: int, seconds: int, late: str = "0 seconds") -> DataFrame:
     """The same over a stream, with the open window of each key as state.
 
     Within a micro-batch a key's events are taken in order of time. Returns key,
-    tiebreak, seen, allowed. Two numbers stay for every key ever seen.
+    tiebreak, seen, allowed. Events may come ``late`` by so much; the watermark drops
+    others, and a key's state goes once its window has ended before the watermark, so
+    state grows with the keys of a window's length, not with all keys ever seen. Sets the
+    session's state store to RocksDB, which timers need.
     """
-    from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-
-    def step(name: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        start, n = state.get if state.exists else (0, 0)
-        rows = pd.concat(list(batches)).sort_values(["_us", tiebreak])
-        seen, start, n = _walk(rows["_us"].to_numpy(), seconds * 1_000_000, start, n)
-        state.update((start, n))
-        yield pd.DataFrame({key: rows[key].to_numpy(), tiebreak: rows[tiebreak].to_numpy(), "seen": seen, "allowed": seen <= limit})
-
-    kinds = dict(events.dtypes)
-    timed = events.withColumn("_us", F.unix_micros(F.col(ts).cast("timestamp"))).select(key, tiebreak, "_us")
-    return timed.groupBy(key).applyInPandasWithState(
-        step, f"{key} {kinds[key]}, {tiebreak} {kinds[tiebreak]}, seen long, allowed boolean", "start long, n long", "append", GroupStateTimeout.NoTimeout
-    )
+    use_rocksdb(events.sparkSession)
+    kinds = dict(events.dtypes)  # processors get no names that start with an underscore
+    time = F.col(ts).cast("timestamp")
+    timed = events.select(key, tiebreak, time.alias("time__"), F.unix_micros(time).alias("us__")).withWatermark("time__", late)
+    schema = f"{key} {kinds[key]}, {tiebreak} {kinds[tiebreak]}, seen long, allowed boolean"
+    return timed.groupBy(key).transformWithStateInPandas(_OpenWindow(key, tiebreak, limit, seconds * 1_000_000), schema, "append", "eventtime")
+
+
+def use_rocksdb(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
