@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sparkloom.operators.ranges import running
+
 
 def filtered_mean(df: DataFrame, value: Column, where: Column | None = None, scale: float = 1.0, by: Sequence[str] = ()) -> DataFrame:
     """Mean (null if nothing counts) and number of the values that ``where`` lets through."""
@@ -16,12 +18,31 @@ def filtered_mean(df: DataFrame, value: Column, where: Column | None = None, sca
 
 
 def interp_percentiles(df: DataFrame, value: str, shares: dict[str, float], where: Column | None = None, by: Sequence[str] = ()) -> DataFrame:
-    """Exact percentiles with linear interpolation, a column for each name in ``shares``.
+    """Exact percentiles with linear interpolation, a column for each name in ``shares``, and the number of values.
 
-    Counts by value are combined before they are shuffled.
+    Equal values are counted before they are shuffled, and the counts summed up over
+    ranges of values; only the rows at the two ranks around each percentile are gathered.
+    A group may have any number of distinct values. Null without values.
     """
     kept = F.col(value) if where is None else F.when(where, F.col(value))
-    return df.groupBy(*by).agg(*[F.percentile(kept, p).alias(name) for name, p in shares.items()], F.count(kept).alias("n"))
+    values = df.select(*by, kept.cast("double").alias("_v"))
+    totals = values.groupBy(*by).agg(F.count("_v").alias("n"))
+    counts = values.filter(F.col("_v").isNotNull()).groupBy(*by, "_v").agg(F.count(F.lit(1)).alias("_n"))
+    placed = running(counts, by, [F.col("_v")], {"_upto": F.col("_n")})
+    group = [F.col(b).alias(f"_g{i}") for i, b in enumerate(by)]
+    sizes = totals.select(*group, F.col("n").alias("_size"))
+    same = reduce(lambda a, b: a & b, [F.col(b).eqNullSafe(F.col(f"_g{i}")) for i, b in enumerate(by)], F.lit(True))
+    rank = lambda p: F.lit(p) * (F.col("_size") - 1)
+    ends = {f"_{end.__name__}{i}": end(rank(p)).cast("long") for i, p in enumerate(shares.values()) for end in (F.floor, F.ceil)}
+    holds = {n: (F.col("_upto") - F.col("_n") <= r) & (r < F.col("_upto")) for n, r in ends.items()}
+    ranked = placed.join(sizes, same) if by else placed.withColumn("_size", F.lit(totals.first()["n"]))
+    near = ranked.filter(reduce(lambda a, b: a | b, holds.values())) if holds else ranked.limit(0)
+    found = near.groupBy(*by).agg(F.first("_size").alias("_size"), *[F.max(F.when(h, F.col("_v"))).alias(n) for n, h in holds.items()])
+    between = [(F.col(f"_floor{i}") + (F.col(f"_ceil{i}") - F.col(f"_floor{i}")) * (rank(p) - F.floor(rank(p)))).alias(name) for i, (name, p) in enumerate(shares.items())]
+    picked = found.select(*group, *between)
+    if not by:
+        return summary(_p=picked.agg(*[F.max(n).alias(n) for n in shares]), _n=totals).select("_p.*", "_n.*")
+    return totals.join(picked, same, "left").select(*by, *shares, "n")
 
 
 def funnel(exposures: DataFrame, actions: DataFrame, on: Sequence[str]) -> DataFrame:

@@ -9,9 +9,11 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sparkloom.operators.ranges import running, written
+
 
 def lookup_array(df: DataFrame, array: str, dim: DataFrame, key: str, value: str, out: str, row_key: Sequence[str], on_missing: str = "key") -> DataFrame:
     """Replace each element of ``array`` by ``dim``'s value, in order, as ``out``.
@@ -106,20 +108,17 @@ def retain_latest(df: DataFrame, version: str, k: int, pinned: Sequence[object]
 def upsert_with_ids(base: DataFrame, incoming: DataFrame, version: str, key: str, ident: str) -> DataFrame:
     """Keyed upsert on (version, natural key) that keeps known surrogate ids and gives out new ones.
 
-    Incoming columns win; new rows get ids above the largest, by version and key. Only
-    one number per version meets in a window, and rows only within their version.
+    Incoming columns win; new rows get ids above the largest, by version and key. Ids are
+    given out over ranges of (version, key), so one version may hold all rows.
     ``version``, ``key`` and ``ident`` of the result are the id map.
     """
     on = [version, key]
     known = base.select(*on, ident)
-    merged = incoming.join(known, on, "left").select(*base.columns)
+    merged = written(incoming.join(known, on, "left").select(*base.columns), "merged")
     fresh, old = merged.filter(F.col(ident).isNull()), merged.filter(F.col(ident).isNotNull())
-    counts = fresh.groupBy(version).agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.orderBy(version).rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select(version, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-    top = base.agg(F.coalesce(F.max(ident), F.lit(0)).alias("_top"))  # one row
-    numbered = fresh.join(starts, version).crossJoin(F.broadcast(top)).withColumn("_r", F.row_number().over(Window.partitionBy(version).orderBy(key)))
-    given = numbered.withColumn(ident, F.col("_top") + F.col("_start") + F.col("_r")).select(*base.columns)
+    top = base.agg(F.coalesce(F.max(ident), F.lit(0))).first()[0]
+    numbered = running(fresh.drop(ident), [], [F.col(version), F.col(key)], {ident: F.lit(1).cast("long")})
+    given = numbered.withColumn(ident, (F.col(ident) + top).cast(base.schema[ident].dataType)).select(*base.columns)
     return missing_from(base, incoming.select(*on), on).unionByName(old).unionByName(given)
 
 

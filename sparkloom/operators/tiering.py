@@ -1,12 +1,15 @@
-"""Tiers by gaps between scores, as window algebra."""
+"""Tiers by gaps between scores, as running sums over sorted ranges."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sparkloom.operators.ranges import running
+
 LABELS = ("OP", "S", "A", "B", "C")
 
 
@@ -16,16 +19,25 @@ def gap_tiers(df: DataFrame, score: str, ordinal: str, by: Sequence[str] = (), l
     Scores are scaled to 0-100 within ``by`` and sorted downwards, ties by ``ordinal``.
     A gap wider than ``factor`` times the mean gap starts the next label; the last label
     takes the rest, and rows without a score. A single scored row gets the middle label.
-    Without ``by`` all rows meet in one task: aggregate to few rows first.
+    Rows are sorted by ranges, so ``by`` may be empty and a group of any size; scores are
+    read three times, so pass a frame that is cheap to read or written down.
     """
-    keys = list(by) or [F.lit(0)]
-    scored = F.col(score).isNotNull()
-    whole = Window.partitionBy(*keys, scored)
-    down = Window.partitionBy(*keys, scored).orderBy(F.desc("_n"), F.col(ordinal))
-    low, high = F.min(score).over(whole), F.max(score).over(whole)
-    scaled = df.withColumn("_n", F.when(high == low, F.lit(0.0)).otherwise((F.col(score) - low) / (high - low) * 100)).withColumn("_count", F.count(F.lit(1)).over(whole))
-    gaps = scaled.withColumn("_gap", F.lag("_n").over(down) - F.col("_n"))
-    wide = gaps.withColumn("_wide", F.coalesce(F.col("_gap") > F.avg("_gap").over(whole) * factor, F.lit(False)).cast("int"))
-    level = wide.withColumn("_level", F.least(F.lit(len(labels) - 1), F.sum("_wide").over(down.rowsBetween(Window.unboundedPreceding, 0)).cast("int")))
-    label = F.element_at(F.array(*[F.lit(x) for x in labels]), F.col("_level") + 1)
-    return level.withColumn(out, F.when(~scored, F.lit(labels[-1])).when(F.col("_count") == 1, F.lit(labels[len(labels) // 2])).otherwise(label)).select(*df.columns, out)
+    keys, groups = list(by), [F.col(b).alias(f"_g{i}") for i, b in enumerate(by)]
+    same = reduce(lambda a, b: a & b, [F.col(b).eqNullSafe(F.col(f"_g{i}")) for i, b in enumerate(keys)], F.lit(True))
+    bounds = df.groupBy(*keys).agg(F.min(score).alias("_low"), F.max(score).alias("_high"), F.count(score).alias("_count"))
+    if keys:
+        scored = df.join(bounds.select(*groups, "_low", "_high", "_count"), same)
+    else:
+        low, high, n = bounds.first()
+        scored = df.withColumns({"_low": F.lit(low), "_high": F.lit(high), "_count": F.lit(n)})
+    spread = F.col("_high") - F.col("_low")
+    some = scored.filter(F.col(score).isNotNull()).withColumn("_n", F.when(spread == 0, F.lit(0.0)).otherwise((F.col(score) - F.col("_low")) / spread * 100))
+    down = [-F.col("_n"), F.col(ordinal)]
+    gaps = running(some, keys, down, previous={"_above": F.col("_n")})
+    # The gaps of a group add up to its whole spread.
+    mean = F.when(spread == 0, F.lit(0.0)).otherwise(F.lit(100.0)) / F.nullif(F.col("_count") - 1, F.lit(0))
+    wide = F.coalesce(F.col("_above") - F.col("_n") > mean * factor, F.lit(False)).cast("int")
+    levels = running(gaps.withColumn("_wide", wide), keys, down, {"_level": F.col("_wide")})
+    label = F.element_at(F.array(*[F.lit(x) for x in labels]), F.least(F.lit(len(labels) - 1), F.col("_level")).cast("int") + 1)
+    tiers = levels.select(*df.columns, F.when(F.col("_count") == 1, F.lit(labels[len(labels) // 2])).otherwise(label).alias(out))
+    return tiers.unionByName(df.filter(F.col(score).isNull()).withColumn(out, F.lit(labels[-1])))

@@ -29,11 +29,10 @@ SELECT quantile_cont(value, 0.5) FILTER (WHERE event_type <> 'error') AS warm_p5
        avg(CASE WHEN event_type = 'error' THEN 1.0 ELSE 0.0 END) * 100 AS cold_percent, count(value) AS n FROM events
 """)
 def warm_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    warm = F.col("event_type") != "error"
-    return table(spark, sf_dir, "events").agg(
-        F.percentile(F.when(warm, F.col("value")), 0.5).alias("warm_p50"), F.percentile("value", 0.95).alias("p95"),
-        (F.avg((~warm).cast("double")) * 100).alias("cold_percent"), F.count("value").alias("n"),
-    )
+    events, warm = table(spark, sf_dir, "events"), F.col("event_type") != "error"
+    cold = kpi.filtered_mean(events, (~warm).cast("double"), scale=100)
+    row = kpi.summary(warm=kpi.interp_percentiles(events, "value", {"p50": 0.5}, warm), all=kpi.interp_percentiles(events, "value", {"p95": 0.95}), cold=cold)
+    return row.select(F.col("warm.p50").alias("warm_p50"), F.col("all.p95").alias("p95"), F.col("cold.mean").alias("cold_percent"), F.col("all.n").alias("n"))
 
 
 _FUNNEL = """
@@ -73,11 +72,12 @@ SELECT avg(value) FILTER (WHERE event_type = 'purchase') AS mean_purchase, avg(v
        CAST(count(*) FILTER (WHERE event_type = 'click') AS BIGINT) AS clicks, count(DISTINCT user_id) AS users FROM events
 """)
 def kpi_summary_row(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kind = F.col("event_type")
-    return table(spark, sf_dir, "events").agg(
-        F.avg(F.when(kind == "purchase", F.col("value"))).alias("mean_purchase"), (F.avg("value") * 100).alias("mean_percent"), F.percentile("value", 0.95).alias("p95"),
+    events, kind = table(spark, sf_dir, "events"), F.col("event_type")
+    counts = events.agg(
+        F.avg(F.when(kind == "purchase", F.col("value"))).alias("mean_purchase"), (F.avg("value") * 100).alias("mean_percent"),
         F.count(F.when(kind == "view", 1)).alias("views"), F.count(F.when(kind == "click", 1)).alias("clicks"), F.countDistinct("user_id").alias("users"),
     )
+    return kpi.summary(counts=counts, latency=kpi.interp_percentiles(events, "value", {"p95": 0.95})).select("counts.*", "latency.p95")
 
 
 @query("""
@@ -95,6 +95,20 @@ def gap_tiering(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tiering.gap_tiers(brands, "revenue", "p_brand")
 
 
+@query("""
+WITH n AS (SELECT p_partkey, p_size, p_retailprice, (p_retailprice - min(p_retailprice) OVER w) / nullif(max(p_retailprice) OVER w - min(p_retailprice) OVER w, 0) * 100 AS s, count(*) OVER w AS n
+           FROM part WHERE p_size <> 7 WINDOW w AS (PARTITION BY p_size > 45)),
+g AS (SELECT *, lag(s) OVER (PARTITION BY p_size > 45 ORDER BY s DESC, p_partkey) - s AS gap FROM n),
+w AS (SELECT *, CASE WHEN gap > 100.0 / (n - 1) * 6 THEN 1 ELSE 0 END AS wide FROM g),
+l AS (SELECT *, least(4, sum(wide) OVER (PARTITION BY p_size > 45 ORDER BY s DESC, p_partkey ROWS UNBOUNDED PRECEDING)) AS level FROM w)
+SELECT p_partkey, ['OP', 'S', 'A', 'B', 'C'][CAST(level AS INTEGER) + 1] AS tier FROM l UNION ALL SELECT p_partkey, 'C' FROM part WHERE p_size = 7
+""")
+def part_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All parts by price within two groups, one of nearly all rows; parts of one size have no score."""
+    parts = table(spark, sf_dir, "part").select("p_partkey", F.when(F.col("p_size") != 7, F.col("p_retailprice")).alias("score"), (F.col("p_size") > 45).alias("large"))
+    return tiering.gap_tiers(parts, "score", "p_partkey", ["large"], factor=6.0).select("p_partkey", "tier")
+
+
 @query("""
 WITH RECURSIVE e AS (SELECT event_id, user_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS r FROM events),
 w AS (
