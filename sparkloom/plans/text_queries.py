@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkloom.functions import similarity, text
-from sparkloom.operators import links, search
+from sparkloom.operators import links, retrieval, search
 from sparkloom.plans.registry import query, table
 
 QUERY_TEXT = "which small blue widgit or hot gear?"
@@ -156,3 +156,31 @@ def doc_text_build(spark: SparkSession, sf_dir: str) -> DataFrame:
     price = text.plain_number(F.col("p_retailprice"), 2)
     content = F.concat(F.col("p_name"), F.lit(" ("), F.col("p_brand"), F.lit(", size "), F.col("p_size").cast("string"), F.lit(") costs "), price)
     return table(spark, sf_dir, "part").select("p_partkey", content.alias("content"))
+
+
+@query(r"""
+WITH q AS (SELECT p_partkey AS qid, 'is a ' || p_name || ' of ' || p_type || ' any good?' AS question FROM part WHERE p_partkey % 20 = 0),
+d AS (SELECT p_partkey AS id, ['a', 'b', 'c'][CAST(p_size % 3 AS INTEGER) + 1] AS kind, p_name AS name, [p_type, p_brand] AS extra, p_brand AS brand FROM part),
+texts AS (SELECT DISTINCT name AS t FROM d UNION SELECT DISTINCT unnest(extra) FROM d),
+tg AS (SELECT t, list_distinct(flatten(list_transform(regexp_extract_all(lower(t), '[\p{L}\p{N}]+'), lambda w: list_transform(range(1, length(w) + 2), lambda i: substr('  ' || w || ' ', i, 3))))) AS a FROM texts),
+qg AS (SELECT question, flatten(list_transform(regexp_extract_all(lower(question), '[\p{L}\p{N}]+'), lambda w: list_transform(range(1, length(w) + 2), lambda i: substr('  ' || w || ' ', i, 3)))) AS b FROM (SELECT DISTINCT question FROM q)),
+e AS (SELECT question, t, a, b, unnest(range(1, len(b) + 1)) AS i FROM qg, tg),
+f AS (SELECT question, t, a, b, i, unnest(range(i, len(b) + 1)) AS j FROM e WHERE list_contains(a, b[i])),
+s AS (SELECT question, t, max(CAST(k AS DOUBLE) / (na + nb - k)) AS score FROM (SELECT question, t, len(a) AS na, len(list_distinct(b[i:j])) AS nb, len(list_intersect(a, list_distinct(b[i:j]))) AS k FROM f) GROUP BY question, t),
+v AS (SELECT id, kind, brand, name AS t, 1.0::DOUBLE AS weight FROM d UNION ALL SELECT id, kind, brand, unnest(extra), 0.9::DOUBLE FROM d),
+r AS (SELECT qid, id, kind, brand, max(score * weight) AS relevance FROM q JOIN s USING (question) JOIN v USING (t) GROUP BY ALL),
+k AS (SELECT * FROM r WHERE relevance >= CASE kind WHEN 'a' THEN 0.6 ELSE 0.4 END),
+c AS (SELECT * FROM k QUALIFY row_number() OVER (PARTITION BY qid, kind, brand ORDER BY relevance DESC, id) <= 2),
+o AS (SELECT qid, id, kind, relevance, row_number() OVER (PARTITION BY qid, kind ORDER BY relevance DESC, id) AS rank FROM c)
+SELECT qid, id, kind, relevance, CAST(rank AS INTEGER) AS rank FROM o WHERE rank <= CASE kind WHEN 'a' THEN 3 WHEN 'b' THEN 5 ELSE 1 END
+""")
+def retrieve_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Questions by every twentieth part against all parts: names and lists, thresholds, caps by brand, quotas by kind."""
+    parts = table(spark, sf_dir, "part")
+    asked = F.concat(F.lit("is a "), "p_name", F.lit(" of "), "p_type", F.lit(" any good?"))
+    questions = parts.filter("p_partkey % 20 = 0").select(F.col("p_partkey").alias("qid"), asked.alias("question"))
+    kind = F.when(F.col("p_size") % 3 == 0, "a").when(F.col("p_size") % 3 == 1, "b").otherwise("c")
+    docs = parts.select(F.col("p_partkey").alias("id"), kind.alias("kind"), F.col("p_name").alias("name"), F.array("p_type", "p_brand").alias("extra"), F.col("p_brand").alias("brand"))
+    fields = [retrieval.Field("name", "name"), retrieval.Field("extra", "list", 0.9)]
+    found = retrieval.retrieve(questions, docs, "qid", "question", "id", "kind", fields, {"a": 3, "b": 5, "c": 1}, 0.4, {"a": 0.6}, "brand", 2)
+    return found.select("qid", "id", "kind", "relevance", "rank")
