@@ -157,10 +157,14 @@ def follow_ups(text: Column, n: int = 1) -> Column:
     return F.slice(F.filter(lines, lambda x: x != ""), 1, n)
 
 
-def sse_frames(words: Column) -> Column:
-    """Server-sent event frames of emitted words, newlines escaped, with a last ``done`` frame."""
-    frames = F.transform(words, lambda w: F.concat(F.lit("data: "), F.replace(w, F.lit("\n"), F.lit("\\n")), F.lit("\n\n")))
-    return F.concat(F.array_join(frames, ""), F.lit("event: done\ndata: \n\n"))
+def sse_frames(words: Column, follow_ups: Column | None = None) -> Column:
+    """Server-sent event frames: emitted words, newlines escaped; follow-up questions as a JSON list, if there are any; ``done``."""
+    frames = F.array_join(F.transform(words, lambda w: F.concat(F.lit("data: "), F.replace(w, F.lit("\n"), F.lit("\\n")), F.lit("\n\n"))), "")
+    last = F.lit("event: done\ndata: [DONE]\n\n")
+    if follow_ups is None:
+        return F.concat(frames, last)
+    asked = F.when(F.size(follow_ups) > 0, F.concat(F.lit("event: followups\ndata: "), F.to_json(follow_ups), F.lit("\n\n"))).otherwise("")
+    return F.concat(frames, asked, last)
 
 
 def parse_sse(body: Column) -> Column:

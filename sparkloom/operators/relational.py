@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkloom.operators.ranges import running, written
@@ -160,3 +160,13 @@ def collect_children(parents: DataFrame, children: DataFrame, on: Sequence[str],
     lists = children.groupBy(*on).agg(F.sort_array(F.collect_list(F.struct(*order, F.col(value).alias("_value")))).alias("_l"))
     kind = f"array<{dict(children.dtypes)[value]}>"
     return parents.join(lists, list(on), "left").withColumn(out, F.coalesce(F.transform("_l", lambda x: x["_value"]), F.array().cast(kind))).drop("_l")
+
+
+def keep_first(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
+    """The first row of each key by ``order``, which must be total; a key's rows are combined before the shuffle."""
+    return df.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter("_r = 1").drop("_r")
+
+
+def placed(df: DataFrame, order: Sequence[Column], out: str) -> DataFrame:
+    """``df`` with each row's place from 1; collated columns (``F.collate``) sort by their locale."""
+    return running(df, [], list(order), {out: F.lit(1)}).withColumn(out, F.col(out).cast("int"))

@@ -199,3 +199,17 @@ def weighted_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     right = bought.groupBy("c_nationkey", "p_brand").agg((1 + F.count(F.lit(1)) % 2).alias("w"))
     pairs = scoring.weighted_jaccard(brands.select("l_suppkey", "p_brand").distinct(), right, "l_suppkey", "c_nationkey", "p_brand", "w")
     return scoring.best_match(pairs, "l_suppkey", "c_nationkey")
+
+
+@query("""
+WITH f AS (SELECT p_brand, p_name, p_retailprice FROM part QUALIFY row_number() OVER (PARTITION BY p_brand ORDER BY p_retailprice DESC, p_partkey) = 1),
+n AS (SELECT p_brand, CASE length(p_brand) % 3 WHEN 0 THEN upper(p_name) WHEN 1 THEN '가' || p_name ELSE p_name END AS name FROM f)
+SELECT p_brand, name, CAST(row_number() OVER (ORDER BY name COLLATE ko, p_brand) AS INTEGER) AS place FROM n
+""")
+def collated_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each brand the dearest part, placed by name in Korean collation."""
+    parts = table(spark, sf_dir, "part").select("p_brand", "p_name", "p_partkey", "p_retailprice")
+    first = relational.keep_first(parts, ["p_brand"], [F.desc("p_retailprice"), F.col("p_partkey")])
+    size = F.length("p_brand") % 3
+    name = F.when(size == 0, F.upper("p_name")).when(size == 1, F.concat(F.lit("가"), "p_name")).otherwise(F.col("p_name"))
+    return relational.placed(first.select("p_brand", name.alias("name")), [F.collate("name", "ko"), F.col("p_brand")], "place")

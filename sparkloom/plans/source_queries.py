@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from sparkloom.functions import wording
 from sparkloom.operators import corpus
 from sparkloom.plans.registry import query, table
-from sparkloom.sources import decode, incremental, snapshots
+from sparkloom.sources import decode, events, incremental, snapshots
 
 
 @query("SELECT c_custkey, c_mktsegment, c_acctbal FROM customer")
@@ -117,3 +117,19 @@ def incremental_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
     upstream = docs.filter("source_id % 11 <> 0").withColumn("content", renamed)
     incremental.refresh(spark, path, "1.1", upstream, keys, "doc_type", ["comp", "playstyle"], {"is_active": F.lit(False)})
     return incremental.read(spark, path, "1.1", keys)
+
+
+@query("""
+SELECT CAST(user_id AS VARCHAR) AS session_id, event_type AS intent, [event_id] AS doc_ids, CAST(floor(value * 200) AS BIGINT) AS latency_ms, CAST(floor(value * 200) AS BIGINT) >= 10000 AS cold_start, ts AS created_at,
+       CASE WHEN event_type = 'view' THEN 'views' ELSE 'rest' END AS source FROM events
+""")
+def event_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events appended to a log by two sources; every batch comes twice."""
+    path, kind = snapshots.shared_folder(spark, "chat-log"), F.col("event_type")
+    given = table(spark, sf_dir, "events").select(
+        "event_type", F.col("user_id").cast("string").alias("session_id"), kind.alias("intent"), F.array("event_id").alias("doc_ids"), F.floor(F.col("value") * 200).alias("latency_ms"), F.col("ts").alias("created_at")
+    )
+    for _ in range(2):
+        for source, which in (("views", kind == "view"), ("rest", (kind != "view") | kind.isNull())):
+            events.append_batch(events.log_rows(given.filter(which), events.CHAT_LOG, "created_at"), path, source, 0)
+    return events.read_log(spark, path, events.CHAT_LOG).select("session_id", "intent", "doc_ids", "latency_ms", "cold_start", F.col("created_at").cast("timestamp_ntz").alias("created_at"), "source")

@@ -120,8 +120,12 @@ s AS (SELECT p_name, max(CAST(k AS DOUBLE) / (na + nb - k)) AS score FROM x GROU
 SELECT p_partkey, p_name, score FROM part JOIN s USING (p_name) WHERE score >= 0.4 ORDER BY score DESC, p_partkey LIMIT 15
 """)
 def trigram_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scored = _scored_names(spark, sf_dir, similarity.word_similarity(F.col("name"), F.lit(QUERY_TEXT)))
-    return search.search(scored.filter("score >= 0.4"), [F.desc("score"), F.col("p_partkey")], 15).select("p_partkey", "p_name", "score")
+    """Only names that share enough of their rarest trigrams with the question are scored."""
+    parts = table(spark, sf_dir, "part").select("p_partkey", "p_name")
+    asked = spark.createDataFrame([(QUERY_TEXT,)], "text string")
+    pairs = retrieval.trigram_pairs(parts.select(F.col("p_name").alias("text")), asked, 0.4)
+    scores = pairs.select(F.col("short").alias("p_name"), similarity.word_similarity(F.col("short"), F.col("long")).alias("score"))
+    return search.search(parts.join(scores.filter("score >= 0.4"), "p_name"), [F.desc("score"), F.col("p_partkey")], 15).select("p_partkey", "p_name", "score")
 
 
 @query(r"""
@@ -184,3 +188,16 @@ def retrieve_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     fields = [retrieval.Field("name", "name"), retrieval.Field("extra", "list", 0.9)]
     found = retrieval.retrieve(questions, docs, "qid", "question", "id", "kind", fields, {"a": 3, "b": 5, "c": 1}, 0.4, {"a": 0.6}, "brand", 2)
     return found.select("qid", "id", "kind", "relevance", "rank")
+
+
+@query("""
+WITH w AS (SELECT p_partkey, string_split(p_name || chr(10) || p_type, ' ') AS w, CASE p_size % 3 WHEN 0 THEN [] WHEN 1 THEN ['"' || p_brand || '"?'] ELSE ['why ' || p_name, 'é?'] END AS f FROM part)
+SELECT p_partkey, array_to_string(list_transform(w, lambda x, i: 'data: ' || replace(x, chr(10), '\\n') || CASE WHEN i < len(w) THEN ' ' ELSE '' END || chr(10) || chr(10)), '')
+  || CASE WHEN len(f) > 0 THEN 'event: followups' || chr(10) || 'data: ' || CAST(to_json(f) AS VARCHAR) || chr(10) || chr(10) ELSE '' END || 'event: done' || chr(10) || 'data: [DONE]' || chr(10) || chr(10) AS body FROM w
+""")
+def sse_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Event streams of names word by word, some with follow-up questions."""
+    size = F.col("p_size") % 3
+    asked = F.when(size == 0, F.array().cast("array<string>")).when(size == 1, F.array(F.concat(F.lit('"'), "p_brand", F.lit('"?')))).otherwise(F.array(F.concat(F.lit("why "), "p_name"), F.lit("é?")))
+    words = text.emitted_words(F.concat("p_name", F.lit("\n"), "p_type"))
+    return table(spark, sf_dir, "part").select("p_partkey", text.sse_frames(words, asked).alias("body"))

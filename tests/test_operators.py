@@ -131,5 +131,5 @@ def test_text_functions(spark):
     assert one(spark, text.host(c("HTTP://u@WWW.Ex.com:80/a"))) == "ex.com" and one(spark, text.allowed_host(c("http://a.ex.com"), ["ex.com"]))
     assert one(spark, text.follow_ups(c("\n- one\n2. two"))) == ["one"]
     assert one(spark, text.plain_number(F.lit(1234.565), 2)) == f"{1234.565:.2f}"
-    assert [tuple(x) for x in one(spark, text.parse_sse(text.sse_frames(F.array(c("a\nb"), c("c")))))] == [("message", "a\nb"), ("message", "c"), ("done", "")]
+    assert [tuple(x) for x in one(spark, text.parse_sse(text.sse_frames(F.array(c("a\nb"), c("c")))))] == [("message", "a\nb"), ("message", "c"), ("done", "[DONE]")]
     assert one(spark, text.stat_lines(F.create_map(c("hp"), F.lit(10.0), c("as"), F.lit(0.255)), [("as", "Speed", "fraction"), ("hp", "Health", "flat")])) == "Speed 25.5%, Health 10"
