@@ -183,7 +183,7 @@ def phrase_counts(docs: DataFrame, depth: int, least: int) -> DataFrame:
             yield frequent()
 
     texts = docs.select(F.coalesce(F.col("lang"), F.lit("und")).alias("lang"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    dealt = texts.mapInArrow(pack, PACK).repartition(parts, "block").sortWithinPartitions("block", "lang")
+    dealt = texts.mapInArrow(pack, PACK).repartitionById(parts, F.col("block")).sortWithinPartitions("block", "lang")
     return dealt.mapInArrow(reduce, COUNTS)
 
 
