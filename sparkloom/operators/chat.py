@@ -64,3 +64,9 @@ def prompt(sections: Sequence[tuple[str, Column]], question: Column) -> Column:
     """Headed sections of lines (arrays of strings), then the question; empty and null sections are left out."""
     parts = [F.when(F.size(lines) > 0, F.concat_ws("\n", F.lit(f"[{title}]"), lines)) for title, lines in sections]
     return F.concat_ws("\n\n", *parts, question)
+
+
+def follow_up_prompt(base: Column, kinds: Column, narrative: Sequence[str], rule: Column) -> Column:
+    """The instruction for follow-up questions; with a rule against asking for reasons unless a narrative kind of document was found."""
+    told = F.coalesce(F.arrays_overlap(kinds, F.array(*[F.lit(k) for k in narrative])), F.lit(False))
+    return F.when(told, base).otherwise(F.concat(base, rule))

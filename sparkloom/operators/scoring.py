@@ -39,3 +39,19 @@ def multiset_overlap(a: DataFrame, b: DataFrame, element: str) -> DataFrame:
     """One row, ``common``: the size of the intersection, duplicates counted one by one."""
     counts = a.groupBy(element).agg(F.count(F.lit(1)).alias("_a")).join(b.groupBy(element).agg(F.count(F.lit(1)).alias("_b")), element)
     return counts.agg(F.coalesce(F.sum(F.least("_a", "_b")), F.lit(0)).alias("common"))
+
+
+def multiset_overlaps(pairs: DataFrame, left: DataFrame, right: DataFrame, left_id: str, right_id: str, element: str) -> DataFrame:
+    """``pairs`` (left_id, right_id) with ``common``, the size of the two multisets' intersection; 0 for none.
+
+    Only the pairs given are formed; equal elements of a set are counted before they are joined.
+    """
+    counts = lambda df, ident, n: df.groupBy(ident, element).agg(F.count(F.lit(1)).alias(n))
+    both = pairs.join(counts(left, left_id, "_a"), left_id).join(counts(right, right_id, "_b"), [right_id, element])
+    common = both.groupBy(left_id, right_id).agg(F.sum(F.least("_a", "_b")).alias("common"))
+    return pairs.join(common, [left_id, right_id], "left").select(left_id, right_id, F.coalesce("common", F.lit(0)).alias("common"))
+
+
+def concentration(df: DataFrame, by: Sequence[str], chosen: Column, out: str = "concentration") -> DataFrame:
+    """Per ``by`` the share of rows that are ``chosen``; null chosen rows count as not chosen."""
+    return df.groupBy(*by).agg(share(F.count(F.when(chosen, 1)), F.count(F.lit(1))).alias(out))

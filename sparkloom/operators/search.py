@@ -19,6 +19,13 @@ def tier_priority(tier: Column) -> Column:
     return F.coalesce(F.element_at(places, tier), F.lit(5))
 
 
+def checked_tier(tier: str | None) -> str | None:
+    """A tier label as it may be asked for, None for any; another value raises."""
+    if tier is not None and tier not in TIER_PLACES:
+        raise ValueError(f"tier must be one of {', '.join(TIER_PLACES)}: {tier!r}")
+    return tier
+
+
 def active_priority(active: Column) -> Column:
     """1 for false; true and null are 0."""
     return F.when(active == F.lit(False), 1).otherwise(0)

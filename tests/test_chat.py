@@ -101,3 +101,14 @@ def test_wordings_by_hand(spark):
     ).first()
     comp = f"N 조합(티어 S): 평균 등수 {4.125:.2f}, 승률 정보 없음, 픽률 {0.0125:.1%}. 구성: A(캐리), B. fast!"
     assert tuple(got) == (comp, "N(3코스트) 챔피언. 특성: 정보 없음.", "N: d", "N: d (스탯: s)", f"{0.0625:.1%}", None)
+
+
+def test_follow_up_prompt_and_tiers(spark):
+    from sparkloom.operators import search
+
+    df = spark.createDataFrame([(["comp"],), (["item"],), ([],), (None,)], "k array<string>")
+    got = [r[0] for r in df.select(chat.follow_up_prompt(F.lit("a"), F.col("k"), ["comp"], F.lit("!"))).collect()]
+    assert got == ["a", "a!", "a!", "a!"]
+    assert search.checked_tier("OP") == "OP" and search.checked_tier(None) is None
+    with pytest.raises(ValueError, match="one of OP, S, A, B, C"):
+        search.checked_tier("D")
