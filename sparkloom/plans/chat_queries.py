@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sparkloom.functions import text
+from sparkloom.functions import prompts, text
 from sparkloom.operators import chat, ranking, relational
 from sparkloom.plans.registry import query, table
 from sparkloom.plans.text_queries import TOPICS
@@ -271,3 +271,26 @@ def prompt_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     earlier = F.transform("history", lambda x: F.concat_ws(" -> ", x["question"], x["answer"]))
     sections = [("earlier", earlier), ("topics", text.all_topics(F.col("question"), TOPICS))]
     return _exchanges(spark, sf_dir).select("conv_id", "turn", chat.prompt(sections, F.col("question")).alias("prompt"))
+
+
+@query(_EXCHANGES.replace("list(concat_ws(' -> ', text, answer))", "list('Q: ' || text || chr(10) || 'A: ' || coalesce(answer, ''))") + r"""
+y AS (SELECT conv_id, turn, '<m>' || chr(10) || q || chr(10) || '</m>' AS m, ['search', 'web_search', 'model_only', 'multi_topic', 'refusal'][CAST(length(q) % 5 AS INTEGER) + 1] AS branch, CASE WHEN conv_id % 7 = 0 THEN NULL ELSE '17.' || turn END AS version, string_split(q, ' ')[:2] AS w,
+        CASE WHEN len(history) > 0 THEN '[이전 대화]' || chr(10) || array_to_string(history, chr(10)) || chr(10) || chr(10) ELSE '' END AS h, conv_id % 3 AS n,
+        'https://' || CASE turn % 4 WHEN 0 THEN 'www.trusted.example' ELSE 'other.example' END || '/' || turn AS url FROM x)
+SELECT conv_id, turn, CASE branch
+  WHEN 'search' THEN coalesce('[검색된 문서] (기준 패치: ' || version || ')' || chr(10), '') || CASE WHEN n = 0 THEN '(검색된 문서 없음)' ELSE '- ' || array_to_string(w, chr(10) || '- ') END || chr(10) || chr(10) || h || m
+  WHEN 'web_search' THEN coalesce('[알려진 사실]' || chr(10) || '현재 서비스에 반영된 기준 패치는 ''' || version || ''' 패치입니다.' || chr(10) || '오늘 날짜는 2026-08-12입니다.' || chr(10) || chr(10), '')
+    || '[웹 검색 결과]' || chr(10) || CASE WHEN n = 0 THEN '(검색된 결과 없음)' ELSE '- ' || CASE WHEN url LIKE '%trusted%' THEN '[공식/전문]' ELSE '[커뮤니티/미검증]' END || ' t' || turn || ': ' || w[1] || ' (출처: ' || url || ')' END || chr(10) || chr(10) || h || m
+  WHEN 'model_only' THEN h || m WHEN 'multi_topic' THEN '[요청된 주제]' || chr(10) || array_to_string(w, ', ') || chr(10) || chr(10) || m END AS sent FROM y
+""")
+def message_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the model is sent for each question, by branch, with documents, web results, topics and earlier exchanges."""
+    asked, q, turn = _exchanges(spark, sf_dir), F.col("question"), F.col("turn")
+    some, words = F.col("conv_id") % 3, F.slice(F.split(q, " ", -1), 1, 2)
+    branch = F.element_at(F.array(*[F.lit(b) for b in ("search", "web_search", "model_only", "multi_topic", "refusal")]), (F.length(q) % 5 + 1).cast("int"))
+    url = F.concat(F.lit("https://"), F.when(turn % 4 == 0, F.lit("www.trusted.example")).otherwise(F.lit("other.example")), F.lit("/"), turn.cast("string"))
+    result = F.struct(F.concat(F.lit("t"), turn.cast("string")).alias("title"), F.get(words, F.lit(0)).alias("content"), url.alias("url"))
+    results = F.filter(F.array(result), lambda _: some != 0)
+    version = F.when(F.col("conv_id") % 7 != 0, F.concat(F.lit("17."), turn.cast("string")))
+    sent = prompts.message_turn(branch, text.wrapped(q, "<m>", "</m>"), version, F.filter(words, lambda _: some != 0), results, F.col("history"), words, ["trusted.example"], F.lit("2026-08-12"))
+    return asked.select("conv_id", "turn", sent.alias("sent"))

@@ -112,3 +112,20 @@ def test_follow_up_prompt_and_tiers(spark):
     assert search.checked_tier("OP") == "OP" and search.checked_tier(None) is None
     with pytest.raises(ValueError, match="one of OP, S, A, B, C"):
         search.checked_tier("D")
+
+
+def test_sections_of_prompts(spark):
+    from sparkloom.functions import prompts
+
+    one = lambda c: spark.range(1).select(c).first()[0]
+    none = F.array().cast("array<string>")
+    assert one(prompts.documents_section(F.lit("17.8"), F.array(F.lit("a"), F.lit(None), F.lit("b")))) == "[검색된 문서] (기준 패치: 17.8)\n- a\n- b"
+    assert one(prompts.documents_section(F.lit("17.8"), none)).endswith("\n(검색된 문서 없음)")
+    history = lambda *rows: F.array(*[F.struct(F.lit(q).alias("question"), F.lit(a).alias("answer")) for q, a in rows])
+    assert one(prompts.history_section(history(("q", "a"), ("r", "b")))) == "[이전 대화]\nQ: q\nA: a\nQ: r\nA: b"
+    assert one(prompts.history_section(F.filter(history(("q", "a")), lambda _: F.lit(False)))) is None
+    assert one(prompts.facts_section(F.lit("1.2"))) == "[알려진 사실]\n현재 서비스에 반영된 기준 패치는 '1.2' 패치입니다."
+    assert one(prompts.facts_section(F.lit(None).cast("string"), F.lit("x"))) is None
+    web = F.array(F.struct(F.lit("T").alias("title"), F.lit("C").alias("content"), F.lit("https://a.ok.org/x").alias("url")))
+    assert one(prompts.web_section(web, ["ok.org"])) == "[웹 검색 결과]\n- [공식/전문] T: C (출처: https://a.ok.org/x)"
+    assert one(prompts.topics_section(F.array(F.lit("a"), F.lit("b")))) == "[요청된 주제]\na, b"
