@@ -100,20 +100,34 @@ def exact_fills(left: np.ndarray) -> list[Pattern]:
 
 
 def best_fit(left: np.ndarray) -> list[Pattern]:
-    """Longest piece first, the longest that fits beside it, until ``left`` is empty."""
-    capacity, patterns = len(left) - 1, []
+    """Longest piece first, each into the open sequence with the smallest gap that holds it.
+
+    Sequences alike are kept as one pattern with its number. A gap that takes a piece
+    and still holds another of that length is then the smallest one, so it takes as many
+    as fit before the next. Uses ``left`` up.
+    """
+    capacity = len(left) - 1
+    gaps: list[list[Pattern]] = [[] for _ in range(capacity + 1)]
     for length in range(capacity, 0, -1):
-        while left[length]:
-            chosen, gap, rest = [length], capacity - length, left.copy()
-            rest[length] -= 1
-            while gap and len(fits := np.flatnonzero(rest[1 : gap + 1])):
-                best = int(fits[-1]) + 1
-                n = min(int(rest[best]), gap // best)
-                chosen += [best] * n
-                gap -= best * n
-                rest[best] -= n
-            patterns.append(_take(left, tuple(chosen)))
-    return patterns
+        n, left[length] = int(left[length]), 0
+        while n:
+            gap = next((g for g in range(length, capacity + 1) if gaps[g]), None)
+            if gap is None:
+                gap, lengths, times = capacity, (), n
+            else:
+                lengths, times = gaps[gap].pop()
+            fit = gap // length
+            full = min(times, n // fit)
+            n -= full * fit
+            if full:
+                gaps[gap - fit * length].append((lengths + (length,) * fit, full))
+            times -= full
+            if times and n:
+                gaps[gap - n * length].append((lengths + (length,) * n, 1))
+                n, times = 0, times - 1
+            if times and lengths:
+                gaps[gap].append((lengths, times))
+    return [pattern for alike in gaps for pattern in alike]
 
 
 def plan(counts: dict[int, int], capacity: int) -> list[Pattern]:

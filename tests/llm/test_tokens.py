@@ -109,6 +109,22 @@ def plain_best_fit(counts, capacity):
     return sequences
 
 
+def test_best_fit_against_one_piece_at_a_time():
+    rng = np.random.default_rng(8)
+    for _ in range(300):
+        counts = {int(k): int(v) for k, v in zip(rng.integers(1, 65, 20), rng.integers(1, 30, 20), strict=True)}
+        left = np.array([counts.get(i, 0) for i in range(65)])
+        patterns = packing.best_fit(left)
+        used = defaultdict(int)
+        for lengths, times in patterns:
+            assert sum(lengths) <= 64 and times > 0
+            for x in lengths:
+                used[x] += times
+        assert dict(used) == counts and not left.any()
+        assert sum(times for _, times in patterns) == plain_best_fit(counts, 64)
+        assert sum(times for _, times in packing.plan(counts, 64)) <= plain_best_fit(counts, 64)
+
+
 def test_plan_uses_every_piece():
     rng = np.random.default_rng(3)
     for _ in range(40):
@@ -120,7 +136,7 @@ def test_plan_uses_every_piece():
             for x in lengths:
                 used[x] += times
         assert dict(used) == counts
-        assert sequences <= plain_best_fit(counts, 64) * 1.03 + 1
+        assert sequences <= plain_best_fit(counts, 64)
     assert packing.plan({}, 64) == []
 
 
