@@ -4,22 +4,64 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def weighted_jaccard(left: DataFrame, right: DataFrame, left_id: str, right_id: str, element: str, weight: str) -> DataFrame:
-    """left_id, right_id, similarity of every two sets that share an element.
+#: Pairs of one element that a task lists at most, about.
+PAIRS = 1 << 20
 
-    An element weighs what the right set says, and 1 if only the left set has it. Each
-    set holds an element once. Sets without a common element (similarity 0) make no row,
-    so no pair is formed that no element asks for.
+
+def _meeting(left: DataFrame, right: DataFrame, left_id: str, right_id: str, element: str, at_once: int) -> DataFrame:
+    """Rows of ``left`` and ``right`` with the same element; an element of more than ``at_once`` pairs is dealt to several tasks."""
+    counts = lambda df, n: df.groupBy(element).agg(F.count(F.lit(1)).alias(n))
+    needed = F.ceil(F.col("_l") * F.col("_r") / F.lit(float(at_once))).cast("long")
+    hot = counts(left, "_l").join(counts(right, "_r"), element).select(element, F.least(needed, F.col("_l")).cast("int").alias("_deals")).filter("_deals > 1")
+    deals = F.coalesce("_deals", F.lit(1))
+    dealt = left.join(hot, element, "left").withColumn("_deal", F.pmod(F.xxhash64(left_id), deals).cast("int")).drop("_deals")
+    every = right.join(hot, element, "left").withColumn("_deal", F.explode(F.sequence(F.lit(0), deals - 1))).drop("_deals")
+    return dealt.join(every, [element, "_deal"]).drop("_deal")
+
+
+def _rare_part(left: DataFrame, right: DataFrame, right_id: str, element: str, weight: str, least: float) -> DataFrame:
+    """The rarest elements of each right set, so many that the others weigh less than ``least`` of the set.
+
+    Elements are ordered by the power of two of the left sets that have them, so a set is
+    summed over 63 classes at most, never sorted whole.
+    """
+    known = right.join(left.groupBy(element).agg(F.floor(F.log2(F.count(F.lit(1)))).alias("_class")), element)
+    whole = right.groupBy(right_id).agg(F.sum(weight).alias("_whole"))
+    commoner = Window.partitionBy(right_id).orderBy(F.desc("_class")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rest = known.groupBy(right_id, "_class").agg(F.sum(weight).alias("_w")).withColumn("_rest", F.sum("_w").over(commoner))
+    needed = rest.join(whole, right_id).filter(F.col("_rest") >= F.col("_whole") * least - 1e-9)
+    return known.join(needed.select(right_id, "_class"), [right_id, "_class"], "left_semi").select(right_id, element)
+
+
+def weighted_jaccard(left: DataFrame, right: DataFrame, left_id: str, right_id: str, element: str, weight: str, least: float = 0.0, at_once: int = PAIRS) -> DataFrame:
+    """left_id, right_id, similarity of every two sets that share an element and reach ``least``.
+
+    An element weighs what the right set says (0 or more), and 1 if only the left set has
+    it. Each set holds an element once; null elements are shared by none. Sets without a
+    common element (similarity 0) make no row, so no pair is formed that no element asks for.
+
+    With ``least`` above 0 a pair must share one of the right set's rarest elements: as
+    the whole weighs at least what the right set does, sharing only others is too little.
+    Pairs that meet so are then measured by all their elements, so common elements list
+    no pairs. Without it every sharing pair is asked for. Either way the pairs of one
+    element are listed ``at_once`` to a task, about.
     """
     left_size = left.groupBy(left_id).agg(F.count(F.lit(1)).alias("_ln"))
     right_size = right.groupBy(right_id).agg(F.sum(weight).alias("_rw"))
-    shared = left.select(left_id, element).join(right.select(right_id, element, weight), element).groupBy(left_id, right_id).agg(F.count(F.lit(1)).alias("_k"), F.sum(weight).alias("_w"))
+    sets, weighed = left.select(left_id, element), right.select(right_id, element, weight)
+    if least > 0:
+        met = _meeting(sets, _rare_part(sets, weighed, right_id, element, weight, least), left_id, right_id, element, at_once).select(left_id, right_id).distinct()
+        met = met.join(weighed, right_id).join(sets, [left_id, element])
+    else:
+        met = _meeting(sets, weighed, left_id, right_id, element, at_once)
+    shared = met.groupBy(left_id, right_id).agg(F.count(F.lit(1)).alias("_k"), F.sum(weight).alias("_w"))
     joined = shared.join(left_size, left_id).join(right_size, right_id)
-    return joined.select(left_id, right_id, (F.col("_w") / (F.col("_rw") + F.col("_ln") - F.col("_k"))).alias("similarity"))
+    found = joined.select(left_id, right_id, (F.col("_w") / (F.col("_rw") + F.col("_ln") - F.col("_k"))).alias("similarity"))
+    return found.filter(F.col("similarity") >= least) if least > 0 else found
 
 
 def best_match(pairs: DataFrame, left_id: str, right_id: str, bins: Sequence[float] = (0.3, 0.6)) -> DataFrame:

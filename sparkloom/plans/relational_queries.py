@@ -201,6 +201,20 @@ def weighted_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scoring.best_match(pairs, "l_suppkey", "c_nationkey")
 
 
+@query("""
+WITH b AS (SELECT DISTINCT l_orderkey, l_partkey, 1 + l_partkey % 2 AS w FROM lineitem),
+z AS (SELECT l_orderkey, count(*) AS n, sum(w) AS whole FROM b GROUP BY ALL),
+s AS (SELECT x.l_orderkey, y.l_orderkey AS like_orderkey, count(*) AS k, sum(y.w) AS sw FROM b x JOIN b y USING (l_partkey) GROUP BY ALL),
+j AS (SELECT s.l_orderkey, like_orderkey, sw / (r.whole + l.n - k) AS similarity FROM s JOIN z l USING (l_orderkey) JOIN z r ON r.l_orderkey = like_orderkey)
+SELECT * FROM j WHERE similarity >= 0.3 AND l_orderkey <> like_orderkey
+""")
+def alike_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders whose parts are alike by 0.3 or more, parts weighing what the second order says."""
+    left = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey").distinct()
+    right = left.select(F.col("l_orderkey").alias("like_orderkey"), "l_partkey", (1 + F.col("l_partkey") % 2).alias("w"))
+    return scoring.weighted_jaccard(left, right, "l_orderkey", "like_orderkey", "l_partkey", "w", least=0.3).filter("l_orderkey <> like_orderkey")
+
+
 @query("""
 WITH f AS (SELECT p_brand, p_name, p_retailprice FROM part QUALIFY row_number() OVER (PARTITION BY p_brand ORDER BY p_retailprice DESC, p_partkey) = 1),
 n AS (SELECT p_brand, CASE length(p_brand) % 3 WHEN 0 THEN upper(p_name) WHEN 1 THEN '가' || p_name ELSE p_name END AS name FROM f)

@@ -107,6 +107,37 @@ def test_jaccard(spark):
     assert (got["r"], got["similarity"], got["deviation"], got["bin"]) == (7, 1.0, 0.0, 0)
 
 
+@pytest.mark.parametrize(("least", "at_once"), [(0.0, 40), (0.35, 40), (0.35, 1 << 20), (1.0, 40)])
+def test_jaccard_with_a_hot_element(spark, least, at_once):
+    rng = random.Random(11)
+    pick = lambda: {"hot"} | set(rng.sample("abcdefghijklmnop", rng.randint(0, 6)))
+    left = {i: pick() for i in range(60)}
+    right = {i: {e: rng.randint(1, 3) for e in (pick() | ({f"own{i}"} if i % 4 == 0 else set()))} for i in range(40)}
+    left[60], right[40] = {"lone"}, {"other": 2}
+    want = {}
+    for i, x in left.items():
+        for j, y in right.items():
+            both = x & y.keys()
+            likeness = sum(y[e] for e in both) / (sum(y.values()) + len(x - both))
+            if both and likeness >= least:
+                want[i, j] = pytest.approx(likeness)
+    lefts = spark.createDataFrame([(i, e) for i, x in left.items() for e in x] + [(61, None)], "l int, e string")
+    rights = spark.createDataFrame([(j, e, w) for j, y in right.items() for e, w in y.items()] + [(41, None, 1)], "r int, e string, w int")
+    got = scoring.weighted_jaccard(lefts, rights, "l", "r", "e", "w", least, at_once).collect()
+    assert len(got) == len(want) and {(r["l"], r["r"]): r["similarity"] for r in got} == want
+    assert scoring.weighted_jaccard(lefts.limit(0), rights, "l", "r", "e", "w", least, at_once).isEmpty()
+
+
+def test_jaccard_deals_pairs_of_an_element(spark):
+    left = spark.range(900).select(F.col("id").alias("l"), F.lit("hot").alias("e"))
+    right = spark.range(50).select(F.col("id").alias("r"), F.lit("hot").alias("e"), F.lit(1).alias("w"))
+    met = scoring._meeting(left, right, "l", "r", "e", 1000)
+    assert met.distinct().count() == met.count() == 900 * 50
+    alone = spark.range(900).select(F.col("id").alias("l"), F.concat(F.lit("own"), "id").alias("e"))
+    rare = scoring._rare_part(left.union(alone.limit(50)), right.union(right.select("r", F.concat(F.lit("own"), "r").alias("e"), F.lit(9).alias("w"))), "r", "e", "w", 0.5)
+    assert {r["e"] for r in rare.collect()} == {f"own{i}" for i in range(50)}
+
+
 def test_rate_limit(spark):
     rng = random.Random(5)
     rows = [(i, rng.choice("ab"), dt.datetime(2024, 1, 1) + dt.timedelta(seconds=rng.randint(0, 400))) for i in range(200)]
