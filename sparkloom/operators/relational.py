@@ -34,9 +34,10 @@ def lookup_array(df: DataFrame, array: str, dim: DataFrame, key: str, value: str
 
 
 def last_by_key(df: DataFrame, keys: Sequence[str], order: Column) -> DataFrame:
-    """One row per key, the last by ``order``; map-side combined, unlike a window."""
+    """One row per key, the last by ``order`` (null before all others); map-side combined, unlike a window."""
     rest = [c for c in df.columns if c not in keys]
-    return df.groupBy(*keys).agg(F.max_by(F.struct(*rest), order).alias("_last")).select(*keys, "_last.*")
+    # A struct is never null, so a key whose rows all have a null order keeps one of them.
+    return df.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(order)).alias("_last")).select(*keys, "_last.*")
 
 
 def localized_join(left: DataFrame, right: DataFrame, keys: Sequence[str], order: Column) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.operators import ranking, relational, scoring
+from sparkloom.operators import ranking, relational, scoring, search
 from sparkloom.plans.registry import query, table
 
 
@@ -49,6 +49,23 @@ def case_priority_sort_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").orderBy(place, F.desc("o_totalprice"), "o_orderkey").limit(20).select("o_orderkey", "o_orderpriority", "o_totalprice")
 
 
+@query("""
+WITH t AS (
+  SELECT p_partkey, p_retailprice, ['OP', 'S', 'A', 'B', 'C', 'D', NULL][1 + p_partkey % 7] AS tier_rank,
+         CASE WHEN p_partkey % 11 > 0 THEN p_partkey % 5 > 0 END AS is_active FROM part)
+SELECT p_partkey, tier_rank, is_active, p_retailprice FROM t
+ORDER BY CASE WHEN NOT is_active THEN 1 ELSE 0 END, CASE tier_rank WHEN 'OP' THEN 0 WHEN 'S' THEN 1 WHEN 'A' THEN 2 WHEN 'B' THEN 3 WHEN 'C' THEN 4 ELSE 5 END, p_retailprice DESC, p_partkey LIMIT 200
+""")
+def tier_order_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 200 parts that a search shows first: active, by tier, then by price."""
+    tiers = F.array(*[F.lit(x) for x in ("OP", "S", "A", "B", "C", "D", None)])
+    key = F.col("p_partkey")
+    parts = table(spark, sf_dir, "part").select(
+        "p_partkey", tiers[(key % 7).cast("int")].alias("tier_rank"), F.when(key % 11 > 0, key % 5 > 0).alias("is_active"), "p_retailprice"
+    )
+    return search.search(parts, search.search_order("p_retailprice", "p_partkey"), 200)
+
+
 @query("""
 SELECT c_custkey, n_name, r_name FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE c_acctbal > 0
 """)

@@ -107,6 +107,12 @@ def test_jaccard(spark):
     assert (got["r"], got["similarity"], got["deviation"], got["bin"]) == (7, 1.0, 0.0, 0)
 
 
+def test_last_by_key_with_null_order(spark):
+    rows = spark.createDataFrame([(1, None, "x"), (1, 5, "y"), (1, 4, "z"), (2, None, "only"), (None, 1, None)], "k int, at int, v string")
+    got = relational.last_by_key(rows, ["k"], F.col("at")).collect()
+    assert sorted(map(tuple, got), key=str) == sorted([(1, 5, "y"), (2, None, "only"), (None, 1, None)], key=str)
+
+
 @pytest.mark.parametrize(("least", "at_once"), [(0.0, 40), (0.35, 40), (0.35, 1 << 20), (1.0, 40)])
 def test_jaccard_with_a_hot_element(spark, least, at_once):
     rng = random.Random(11)
