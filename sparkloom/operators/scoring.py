@@ -7,9 +7,13 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sparkloom.operators.ranges import written
+
 
 #: Pairs of one element that a task lists at most, about.
 PAIRS = 1 << 20
+#: Left sets from which on an element is put behind rarer ones, and elements that travel with a posting.
+COMMON, TAIL = 64, 64
 
 
 def _meeting(left: DataFrame, right: DataFrame, left_id: str, right_id: str, element: str, at_once: int) -> DataFrame:
@@ -37,6 +41,70 @@ def _rare_part(left: DataFrame, right: DataFrame, right_id: str, element: str, w
     return known.join(needed.select(right_id, "_class"), [right_id, "_class"], "left_semi").select(right_id, element)
 
 
+def _postings(sets: DataFrame, ident: str, element: str, classes: DataFrame, side: str, weight: str | None = None) -> DataFrame:
+    """Each element of a set with what comes after it in the set: rarer elements come first.
+
+    Columns ``{side}n`` (the set's size), ``{side}after`` (elements that follow) and
+    ``{side}tail`` (the first ``TAIL`` of them); with a weight also ``_w``, ``_whole``,
+    ``_rest`` (the weight that follows) and ``_weights`` (of the tail).
+    """
+    placed = sets.filter(F.col(ident).isNotNull()).join(classes, element, "left").withColumn("_class", F.coalesce("_class", F.lit(0)))
+    line = Window.partitionBy(ident).orderBy("_class", element)
+    every, here, tail = (line.rowsBetween(*x) for x in ((Window.unboundedPreceding, Window.unboundedFollowing), (Window.unboundedPreceding, 0), (1, TAIL)))
+    one = F.lit(1)
+    columns = {f"{side}n": F.count(one).over(every), "_at": F.count(one).over(here), f"{side}tail": F.collect_list(element).over(tail)}
+    if weight is not None:
+        placed = placed.withColumn("_w", F.coalesce(F.col(weight).cast("double"), F.lit(0.0)))
+        columns |= {"_whole": F.sum("_w").over(every), "_run": F.sum("_w").over(here), "_weights": F.collect_list("_w").over(tail)}
+    rows = placed.withColumns(columns).filter(F.col(element).isNotNull()).withColumn(f"{side}after", F.col(f"{side}n") - F.col("_at"))
+    kept = [element, ident, f"{side}n", f"{side}after", f"{side}tail"]
+    return rows.select(*kept) if weight is None else rows.select(*kept, "_w", "_whole", (F.col("_whole") - F.col("_run")).alias("_rest"), "_weights")
+
+
+def _alike(left: DataFrame, right: DataFrame, left_id: str, right_id: str, element: str, weight: str, least: float, at_once: int) -> DataFrame:
+    """left_id, right_id, similarity of the pairs that reach ``least`` (above 0).
+
+    Sets are ordered rarer elements first. Where two sets meet in an element, the tails
+    that travel with it tell all that they share from there on. That is everything at
+    the first element they share and less at the others, so the greatest is the pair's
+    similarity, and only pairs that reach ``least`` leave the task in which they meet. A
+    pair with a tail that is cut off is measured by joins instead.
+    """
+    counts = lambda df, n: df.groupBy(element).agg(F.count(F.lit(1)).alias(n))
+    common = written(counts(left, "_l").join(counts(right, "_r"), element).filter((F.col("_l") > COMMON) | (F.col("_l").cast("double") * F.col("_r") > at_once)), "common")
+    classes = common.select(element, F.floor(F.log2("_l")).cast("int").alias("_class"))
+    # A shade below the least, for what sums of weights lose.
+    near, after = least * (1 - 1e-9), F.col("_w") + F.col("_rest")
+    a = _postings(left.select(left_id, element), left_id, element, classes, "_l")
+    b = _postings(right.select(right_id, element, weight), right_id, element, classes, "_r", weight).filter(after >= near * F.col("_whole"))
+    if common.filter(F.col("_l").cast("double") * F.col("_r") > at_once).isEmpty():
+        met = a.join(b, element)
+    else:
+        met = _meeting(written(a, "postings"), written(b, "postings"), left_id, right_id, element, at_once)
+    cut = (F.col("_lafter") > TAIL) | (F.col("_rafter") > TAIL)
+    alone = F.col("_whole") + F.col("_ln") - 1
+    able = (after >= near * (alone - F.least("_lafter", "_rafter"))) & ((F.col("_w") >= near * alone) | cut | F.arrays_overlap("_ltail", "_rtail"))
+    shared = F.zip_with("_rtail", "_weights", lambda e, w: F.when(F.array_contains("_ltail", e), w).otherwise(0.0))
+    sw, rest = F.aggregate(shared, F.col("_w"), lambda x, y: x + y), alone - F.size(F.array_intersect("_ltail", "_rtail"))
+    measured = met.filter(able).select(left_id, right_id, F.when(~cut & (rest > 0), sw / rest).alias("similarity"), cut.alias("_cut"))
+    found = written(measured.filter(F.col("_cut") | (F.col("similarity") >= least)), "alike")
+    whole = found.groupBy(left_id, right_id).agg(F.max("similarity").alias("similarity"), F.bool_or("_cut").alias("_cut"))
+    if found.filter("_cut").isEmpty():
+        return whole.select(left_id, right_id, "similarity")
+    pairs = found.filter("_cut").select(left_id, right_id).distinct()
+    met = pairs.join(right.select(right_id, element, weight), right_id).join(left.select(left_id, element), [left_id, element])
+    return whole.filter(~F.col("_cut")).select(left_id, right_id, "similarity").unionByName(_measured(met, left, right, left_id, right_id, weight).filter(F.col("similarity") >= least))
+
+
+def _measured(met: DataFrame, left: DataFrame, right: DataFrame, left_id: str, right_id: str, weight: str) -> DataFrame:
+    """Similarity of pairs of which ``met`` has a row for each shared element."""
+    left_size = left.groupBy(left_id).agg(F.count(F.lit(1)).alias("_ln"))
+    right_size = right.groupBy(right_id).agg(F.sum(weight).alias("_rw"))
+    shared = met.groupBy(left_id, right_id).agg(F.count(F.lit(1)).alias("_k"), F.sum(weight).alias("_w"))
+    joined = shared.join(left_size, left_id).join(right_size, right_id)
+    return joined.select(left_id, right_id, (F.col("_w") / (F.col("_rw") + F.col("_ln") - F.col("_k"))).alias("similarity"))
+
+
 def weighted_jaccard(left: DataFrame, right: DataFrame, left_id: str, right_id: str, element: str, weight: str, least: float = 0.0, at_once: int = PAIRS) -> DataFrame:
     """left_id, right_id, similarity of every two sets that share an element and reach ``least``.
 
@@ -44,24 +112,15 @@ def weighted_jaccard(left: DataFrame, right: DataFrame, left_id: str, right_id:
     it. Each set holds an element once; null elements are shared by none. Sets without a
     common element (similarity 0) make no row, so no pair is formed that no element asks for.
 
-    With ``least`` above 0 a pair must share one of the right set's rarest elements: as
-    the whole weighs at least what the right set does, sharing only others is too little.
-    Pairs that meet so are then measured by all their elements, so common elements list
-    no pairs. Without it every sharing pair is asked for. Either way the pairs of one
-    element are listed ``at_once`` to a task, about.
+    With ``least`` above 0 pairs are measured where they meet, in each element that they
+    share and that can still bring them to ``least`` (``_alike``); only those that
+    reach it are shuffled. Without it every sharing pair is asked for. Either way the
+    pairs of one element are listed ``at_once`` to a task, about.
     """
-    left_size = left.groupBy(left_id).agg(F.count(F.lit(1)).alias("_ln"))
-    right_size = right.groupBy(right_id).agg(F.sum(weight).alias("_rw"))
-    sets, weighed = left.select(left_id, element), right.select(right_id, element, weight)
     if least > 0:
-        met = _meeting(sets, _rare_part(sets, weighed, right_id, element, weight, least), left_id, right_id, element, at_once).select(left_id, right_id).distinct()
-        met = met.join(weighed, right_id).join(sets, [left_id, element])
-    else:
-        met = _meeting(sets, weighed, left_id, right_id, element, at_once)
-    shared = met.groupBy(left_id, right_id).agg(F.count(F.lit(1)).alias("_k"), F.sum(weight).alias("_w"))
-    joined = shared.join(left_size, left_id).join(right_size, right_id)
-    found = joined.select(left_id, right_id, (F.col("_w") / (F.col("_rw") + F.col("_ln") - F.col("_k"))).alias("similarity"))
-    return found.filter(F.col("similarity") >= least) if least > 0 else found
+        return _alike(left, right, left_id, right_id, element, weight, least, at_once)
+    met = _meeting(left.select(left_id, element), right.select(right_id, element, weight), left_id, right_id, element, at_once)
+    return _measured(met, left, right, left_id, right_id, weight)
 
 
 def best_match(pairs: DataFrame, left_id: str, right_id: str, bins: Sequence[float] = (0.3, 0.6)) -> DataFrame:

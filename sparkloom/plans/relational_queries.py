@@ -227,7 +227,7 @@ SELECT * FROM j WHERE similarity >= 0.3 AND l_orderkey <> like_orderkey
 """)
 def alike_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders whose parts are alike by 0.3 or more, parts weighing what the second order says."""
-    left = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey").distinct()
+    left = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey").repartition("l_orderkey").distinct()
     right = left.select(F.col("l_orderkey").alias("like_orderkey"), "l_partkey", (1 + F.col("l_partkey") % 2).alias("w"))
     return scoring.weighted_jaccard(left, right, "l_orderkey", "like_orderkey", "l_partkey", "w", least=0.3).filter("l_orderkey <> like_orderkey")
 

@@ -170,3 +170,25 @@ def test_text_functions(spark):
     assert one(spark, text.plain_number(F.lit(1234.565), 2)) == f"{1234.565:.2f}"
     assert [tuple(x) for x in one(spark, text.parse_sse(text.sse_frames(F.array(c("a\nb"), c("c")))))] == [("message", "a\nb"), ("message", "c"), ("done", "[DONE]")]
     assert one(spark, text.stat_lines(F.create_map(c("hp"), F.lit(10.0), c("as"), F.lit(0.255)), [("as", "Speed", "fraction"), ("hp", "Health", "flat")])) == "Speed 25.5%, Health 10"
+
+
+@pytest.mark.parametrize(("tail", "common"), [(64, 64), (3, 2)])
+def test_alike_sets_are_measured_where_they_meet(spark, monkeypatch, tail, common):
+    monkeypatch.setattr(scoring, "TAIL", tail)
+    monkeypatch.setattr(scoring, "COMMON", common)
+    rng = random.Random(5)
+    sets = {i: set(rng.sample(range(30), rng.randint(1, 12))) for i in range(120)}
+    weight = lambda e: 1 + e % 3
+    want = {}
+    for i, x in sets.items():
+        for j, y in sets.items():
+            likeness = sum(map(weight, x & y)) / (sum(map(weight, y)) + len(x - y))
+            if likeness >= 0.4:
+                want[i, j] = pytest.approx(likeness)
+    left = spark.createDataFrame([(i, e) for i, x in sets.items() for e in x], "l long, e long")
+    right = left.select(F.col("l").alias("r"), "e", (1 + F.col("e") % 3).alias("w"))
+    found = scoring.weighted_jaccard(left, right, "l", "r", "e", "w", 0.4)
+    got = found.collect()
+    assert len(got) == len(want) and {(r["l"], r["r"]): r["similarity"] for r in got} == want
+    # Unless a tail is cut off, no pair is joined with its sets again.
+    assert tail < 12 or "Join" not in found._jdf.queryExecution().toString()
