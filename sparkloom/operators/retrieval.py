@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
@@ -55,18 +55,21 @@ def _long_score(short: Column, long: Column) -> Column:
     return score(short, long)
 
 
-def relevance_pairs(questions: DataFrame, docs: DataFrame, qid: str, question: str, ident: str, fields: Sequence[Field], least: float) -> DataFrame:
+def relevance_pairs(questions: DataFrame, docs: DataFrame, qid: str, question: str, ident: str, fields: Sequence[Field], least: float, first: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """qid, ident, relevance: the greatest weighted field score of every pair that reaches ``least``.
 
     A name or a list's element is looked for in the question, the question in a content.
     Each distinct pair of texts is scored once, whatever number of rows have the texts.
+    ``first`` may leave out rows (those of ``docs`` with each ``_value`` of a field)
+    before they are paired with questions.
     """
     asked = questions.select(qid, F.col(question).alias("_question"))
     scored = []
     for f in fields:
         if f.weight < least:
             continue  # cannot reach it
-        values = docs.select(ident, (F.explode(f.column) if f.form == "list" else F.col(f.column)).alias("_value")).distinct()
+        values = docs.withColumn("_value", F.explode(F.array_distinct(f.column)) if f.form == "list" else F.col(f.column))
+        values = (written(first(values).select(ident, "_value"), "values") if first else values.select(ident, "_value")).distinct()
         short, long = (asked.withColumnRenamed("_question", "text"), values.withColumnRenamed("_value", "text")) if f.form == "content" else (values.withColumnRenamed("_value", "text"), asked.withColumnRenamed("_question", "text"))
         pairs = trigram_pairs(short, long, least / f.weight)
         score = _long_score(F.col("short"), F.col("long")) if f.form == "content" else word_similarity(F.col("short"), F.col("long"))
@@ -88,17 +91,30 @@ def retrieve(
     A document needs its kind's threshold, or ``least`` where that is higher or there is
     none. ``order`` comes before relevance and id. At most ``cap`` of a question's
     documents of one kind come from one ``group``. Kinds without a quota are left out.
-    Quotas of up to 1000 are kept to on the map side, so that no task holds all of a
-    question's documents.
+    Equal questions are answered once. Of the documents of one kind and group that have
+    one value, only the first ``cap`` by ``order`` and id are paired with questions: each
+    of these scores what the value does or more, so any other comes after them. Without
+    groups, the greatest quota takes the place of ``cap``. Quotas of up to 1000 are kept
+    to on the map side, so that no task holds all of a question's documents.
     """
-    scored = relevance_pairs(questions, docs, qid, question, ident, fields, least)
-    rows = scored.join(docs.filter(F.col(kind).isin(list(quotas))), ident)
+    docs, most = docs.filter(F.col(kind).isin(list(quotas))), max(quotas.values(), default=0)
+    capped = group is not None and cap is not None
+    alike = Window.partitionBy("_value", kind, *[group] * capped).orderBy(*order, F.col(ident))
+
+    def first(values: DataFrame) -> DataFrame:
+        return values.withColumn("_place", F.row_number().over(alike)).filter(F.col("_place") <= (cap if capped else most))
+
+    asked = questions.select(qid, F.col(question).alias("_asked")).distinct()
+    texts = asked.filter(F.col("_asked").isNotNull()).select("_asked", F.col("_asked").alias("_text")).distinct()
+    scored = relevance_pairs(texts, docs, "_asked", "_text", ident, fields, least, first)
+    rows = scored.join(docs, ident)
     for k, t in (thresholds or {}).items():
         rows = rows.filter((F.col(kind) != k) | (F.col("relevance") >= t))
     best = [*order, F.col("relevance").desc(), F.col(ident)]
-    if group is not None and cap is not None:
-        place = F.row_number().over(Window.partitionBy(qid, kind, group).orderBy(*best))
+    if capped:
+        place = F.row_number().over(Window.partitionBy("_asked", kind, group).orderBy(*best))
         rows = rows.withColumn("_cap", place).filter(F.col("_cap") <= cap).drop("_cap")
     quota = F.create_map(*[F.lit(x) for item in quotas.items() for x in item])
-    ranked = rows.withColumn("rank", F.row_number().over(Window.partitionBy(qid, kind).orderBy(*best)))
-    return ranked.filter(F.col("rank") <= max(quotas.values(), default=0)).filter(F.col("rank") <= quota[F.col(kind)])
+    ranked = rows.withColumn("rank", F.row_number().over(Window.partitionBy("_asked", kind).orderBy(*best)))
+    answers = ranked.filter(F.col("rank") <= most).filter(F.col("rank") <= quota[F.col(kind)])
+    return answers.join(asked, "_asked").select(ident, qid, "relevance", *[c for c in docs.columns if c != ident], "rank")

@@ -74,3 +74,25 @@ def test_thresholds_caps_and_quotas(spark, corpus):
     assert {(r["qid"], r["id"], r["rank"]) for r in got} == want
     none = retrieval.retrieve(questions, docs.limit(0), "qid", "question", "id", "kind", FIELDS, {"a": 2}, 0.3, order=[F.col("id").desc()])
     assert none.count() == 0
+
+
+def test_only_the_first_documents_of_a_value_are_paired(spark, monkeypatch):
+    questions = spark.createDataFrame([(i, ["red ring?", "blue bolt?"][i % 2]) for i in range(40)], "qid long, question string")
+    rows = [(i, "ab"[i % 2], ["red ring", "blue bolt", "red bolt"][i % 3], [["red"], ["ring", "blue"], ["red", "red", None]][i % 5 % 3], f"g{i // 2 % 3}", i % 7) for i in range(300)]
+    docs = spark.createDataFrame(rows, "id long, kind string, name string, extra array<string>, g string, late int")
+    paired = []
+    pairs = retrieval.relevance_pairs
+    monkeypatch.setattr(retrieval, "relevance_pairs", lambda *a: paired.append(pairs(*a)) or paired[-1])
+    for group, cap in (("g", 2), (None, None)):
+        got = retrieval.retrieve(questions, docs, "qid", "question", "id", "kind", FIELDS[:2], {"a": 3, "b": 4}, 0.3, {"a": 0.5}, group, cap, [F.col("late").desc()])
+        want = set()
+        for q, asked in enumerate(["red ring?", "blue bolt?"] * 20):
+            for kind, quota, least in (("a", 3, 0.5), ("b", 4, 0.3)):
+                scored = [(-late, -max([best_stretch(name, asked), *[0.9 * best_stretch(x, asked) for x in extra if x]]), i, g) for i, k, name, extra, g, late in rows if k == kind]
+                ranked = sorted(x for x in scored if -x[1] >= least)
+                kept = [x for n, x in enumerate(ranked) if cap is None or sum(y[3] == x[3] for y in ranked[:n]) < cap]
+                want |= {(q, x[2], rank) for rank, x in enumerate(kept[:quota], 1)}
+        assert {(r["qid"], r["id"], r["rank"]) for r in got.collect()} == want
+        assert got.count() == len(want)
+        # Two questions, six values, two kinds; not 40 questions with hundreds of documents each.
+        assert paired[-1].count() <= 2 * 6 * 2 * (3 * cap if cap else 4)
