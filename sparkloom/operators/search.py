@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.functions.similarity import char_overlap, with_thresholds
+from sparkloom.operators.ranges import written
 from sparkloom.operators.ranking import capped_top_k, quota_union, split_quota
 
 #: Places of the tier labels; any other label comes last (fixed values).
@@ -41,6 +43,16 @@ def search_order(score: str = "relevance", ident: str = "id", tier: str | None =
     return [*order, F.col(score).desc(), F.col(ident)]
 
 
+def scored(docs: DataFrame, columns: Sequence[str], scores: Mapping[str, Column]) -> DataFrame:
+    """``docs`` with the ``scores`` of their ``columns``, written down, as several searches read them.
+
+    Rows that are alike in ``columns`` (nulls too) are scored once.
+    """
+    known = written(docs.select(*columns).distinct().withColumns(dict(scores)), "scores").withColumnsRenamed({c: f"_{c}" for c in columns})
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in columns])
+    return written(docs.join(known, same).select(*docs.columns, *scores), "scored")
+
+
 def search(scored: DataFrame, order: Sequence[Column], k: int, kind: str | None = None, kinds: Sequence[str] = (), score: str = "relevance", thresholds: Mapping[str, float] | None = None) -> DataFrame:
     """Best ``k`` rows of the kinds asked for that reach their kind's threshold."""
     rows = scored.filter(F.col(kind).isin(list(kinds))) if kind and kinds else scored

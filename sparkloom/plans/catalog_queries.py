@@ -106,7 +106,8 @@ def search_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("p_partkey").alias("id"), kind.alias("kind"), F.col("p_name").alias("name"), F.array("p_type", "p_brand").alias("lists"), content.alias("content"), F.col("p_brand").alias("brand"),
         tier.alias("tier_rank"), F.when(size % 4 == 0, F.lit(False)).when(size % 4 == 1, F.lit(True)).alias("is_active"),
     )
-    scored = docs.withColumns({"relevance": similarity.relevance(QUERY_TEXT, ["name"], ["lists"], "content"), "hit": similarity.word_similarity(F.col("name"), F.lit(QUERY_TEXT))})
+    scores = {"relevance": similarity.relevance(QUERY_TEXT, ["name"], ["lists"], "content"), "hit": similarity.word_similarity(F.col("name"), F.lit(QUERY_TEXT))}
+    scored = search.scored(docs, ["name", "lists", "content"], scores)
     order, plain = search.search_order(name_score="hit"), [F.col("relevance").desc(), F.col("id")]
     least = {"augment": 0.45, "item": 0.45}
     modes = {

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sparkloom.functions import similarity, text
-from sparkloom.operators import kpi, ranking, relational, scoring, tiering
+from sparkloom.operators import kpi, ranking, relational, scoring, search, tiering
 from sparkloom.streaming.limits import fixed_window_limit
 
 
@@ -192,3 +192,19 @@ def test_alike_sets_are_measured_where_they_meet(spark, monkeypatch, tail, commo
     assert len(got) == len(want) and {(r["l"], r["r"]): r["similarity"] for r in got} == want
     # Unless a tail is cut off, no pair is joined with its sets again.
     assert tail < 12 or "Join" not in found._jdf.queryExecution().toString()
+
+
+def test_alike_rows_are_scored_once(spark):
+    calls = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def slow(name):
+        calls.add(1)
+        return None if name is None else float(len(name))
+
+    names = ["ring", None, "bolt", ""]
+    docs = spark.createDataFrame([(i, names[i % 4], [names[i % 2]]) for i in range(400)], "id long, name string, lists array<string>")
+    rows = search.scored(docs, ["name", "lists"], {"score": slow("name")})
+    for _ in range(2):
+        assert sorted((r["id"], r["score"]) for r in rows.collect()) == [(i, None if i % 4 == 1 else float(len(names[i % 4]))) for i in range(400)]
+    assert calls.value == 4 and rows.columns == ["id", "name", "lists", "score"]
