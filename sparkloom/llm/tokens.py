@@ -11,6 +11,7 @@ from __future__ import annotations
 import os
 import re
 from array import array
+from collections.abc import Callable
 from functools import cache
 
 #: Words that a worker keeps before its cache starts anew, and how long such a word may be.
@@ -26,6 +27,32 @@ _SPACED = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-zÀ-ÖØ-öø-ÿ]+| ?[0-9
 #: that have none the next free one from U+0100.
 _HIDDEN = [b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or 174 <= b)]
 _BYTE_NAMES = {b: chr(256 + i) for i, b in enumerate(_HIDDEN)}
+_NAMES = [_BYTE_NAMES.get(b, chr(b)) for b in range(256)]
+
+
+def _named(word: str) -> str:
+    """A word's bytes by their names; visible ASCII after at most one space, the usual case, is named as a whole."""
+    spaced = word[0] == " "
+    rest = word[1:] if spaced else word
+    if rest.isascii() and rest.isprintable() and " " not in rest:
+        return _NAMES[32] + rest if spaced else rest
+    return "".join(map(_NAMES.__getitem__, word.encode()))
+
+
+class _Words(dict):
+    """Ids of words as bytes; a word that is not here is encoded and, if short, kept."""
+
+    def __init__(self, encode: Callable[[str], bytes]) -> None:
+        super().__init__()
+        self._encode = encode
+
+    def __missing__(self, word: str) -> bytes:
+        ids = self._encode(word)
+        if len(word) <= CACHE_CHARS:
+            if len(self) >= CACHE_WORDS:
+                self.clear()
+            self[word] = ids
+        return ids
 
 
 class Encoder:
@@ -41,10 +68,10 @@ class Encoder:
         self._tokenizer = Tokenizer.from_file(path)
         self._model = self._tokenizer.model
         self._spaced = spaced
-        self._known: dict[str, bytes] = {}
+        self._known = _Words(self._word)
 
     def _word(self, word: str) -> bytes:
-        return array("H", [t.id for t in self._model.tokenize(word.encode().decode("latin-1").translate(_BYTE_NAMES))]).tobytes()
+        return array("H", [t.id for t in self._model.tokenize(_named(word))]).tobytes()
 
     def encode(self, text: str | None) -> bytes:
         """Ids of one text as 16-bit integers; null and empty texts have none.
@@ -55,16 +82,8 @@ class Encoder:
             return b""
         if not _PLAIN.fullmatch(text) or "<|" in text:
             return array("H", self._tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids).tobytes()
-        words, known = _SPACED.findall(text) if self._spaced else _WORDS.findall(text.lower()), self._known
-        new = set(words).difference(known)
-        if new and len(known) > CACHE_WORDS:
-            known.clear()
-            new = set(words)
-        here = {w: self._word(w) for w in new}
-        known.update((w, ids) for w, ids in here.items() if len(w) <= CACHE_CHARS)
-        if len(here) and max(map(len, here)) > CACHE_CHARS:
-            return b"".join([known[w] if w in known else here[w] for w in words])
-        return b"".join(map(known.__getitem__, words))
+        words = _SPACED.findall(text) if self._spaced else _WORDS.findall(text.lower())
+        return b"".join(map(self._known.__getitem__, words))
 
 
 @cache

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from sparkloom.llm import bpe_count, packing, queries, token_store
+from sparkloom.llm import bpe_count, packing, queries, token_store, tokens
 from sparkloom.llm.common import documents
 from sparkloom.llm.tokens import byte_level, word_level
 
@@ -31,6 +31,16 @@ def texts(spark):
     return [r["text"] for r in documents(spark, SF).limit(400).collect()] + ODD
 
 
+def test_words_are_named_by_bytes_and_encoded_once():
+    for word in (" a", "a", " ", "  ", "\t", " é", "ß", "\x7f", " a b", "don't", " \x00"):
+        assert tokens._named(word) == "".join(chr(b) if b not in tokens._BYTE_NAMES else tokens._BYTE_NAMES[b] for b in word.encode())
+    asked = []
+    known = tokens._Words(lambda w: asked.append(w) or w.encode())
+    long = "x" * (tokens.CACHE_CHARS + 1)
+    assert [known[w] for w in ("a", "b", "a", long, long)] == [b"a", b"b", b"a", long.encode(), long.encode()]
+    assert asked == ["a", "b", long, long] and list(known) == ["a", "b"]
+
+
 def test_encoders_match_library(texts):
     byte, word = Tokenizer.from_file(BYTE), Tokenizer.from_file(WORD)
     for t in texts:
