@@ -31,6 +31,8 @@ PIECE_ENDS = (0x2E, 0x2C, 0x3B, 0x3A, 0x21, 0x3F, 0x0A, 0x0B, 0x0C, 0x0D)
 SPACES = (0x20, 0x09)
 #: Text bytes in a shard (one longer text is one shard).
 SHARD_BYTES = 6 << 20
+#: Blocks for each shuffle partition. All packs of a block reach Python at once, as one batch.
+BLOCKS = 2
 #: Stands for all words of a lang among the packed phrases, which hold none of it.
 ALL = "\r"
 
@@ -145,7 +147,7 @@ PACK = "block int, lang string, phrases string, counts binary"
 
 def phrase_counts(docs: DataFrame, depth: int, least: int) -> DataFrame:
     """COUNTS of phrases of up to ``depth`` words seen ``least`` times or more; with 0 words all words of the lang."""
-    parts = shuffle_partitions(docs.sparkSession)
+    parts = BLOCKS * shuffle_partitions(docs.sparkSession)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -169,12 +171,15 @@ def phrase_counts(docs: DataFrame, depth: int, least: int) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array([here[1]] * len(f), pa.utf8()), phrase, words, f], names=["lang", "phrase", "words", "f"])
 
         for batch in batches:
-            for block, lang, phrases, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            # One pack at a time: a batch holds many, and Python copies of them all would double it.
+            for i in range(batch.num_rows):
+                block, lang = batch.column(0)[i].as_py(), batch.column(1)[i].as_py()
                 if (block, lang) != here and held:
                     yield frequent()
                     held, size = [], 0
                 here = (block, lang)
-                held.append((cut(pa.array([phrases], pa.utf8()), _LINE).words, pa.array(np.frombuffer(counts, "<u4").astype(np.int64))))
+                counts = np.frombuffer(batch.column(3)[i].as_buffer(), "<u4").astype(np.int64)
+                held.append((cut(batch.column(2).slice(i, 1), _LINE).words, pa.array(counts)))
                 size += len(held[-1][0])
                 if size > 2 * len(held[0][0]) + (1 << 20):
                     held = [add(held)]

@@ -99,3 +99,10 @@ def test_words_are_cut_within_their_texts():
     assert found.words.to_pylist() == ["cd", "e", "f", "g"]
     assert found.documents().tolist() == [0, 0, 3, 4] and found.per_document().tolist() == [2, 0, 0, 1, 1]
     assert list(runs(texts, 3)) == [(0, 1), (1, 2), (2, 5), (5, 6)]
+
+
+def test_a_task_reads_part_of_a_shuffle_partition(spark):
+    docs = spark.createDataFrame([("en", "a b c. " * 20)], "lang string, text string")
+    counts = collocations.phrase_counts(docs, 3, 10)
+    assert counts.rdd.getNumPartitions() == collocations.BLOCKS * int(spark.conf.get("spark.sql.shuffle.partitions")) > int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert {r["phrase"]: r["f"] for r in counts.collect() if r["words"]} == {"a": 20, "b": 20, "c": 20, "a b": 20, "b c": 20, "a b c": 20}
