@@ -32,8 +32,8 @@ from pyspark.sql import functions as F
 from sparkloom.llm.common import materialize
 
 DEPTH = 5
-#: Texts are counted in batches of so many bytes.
-GATHER_BYTES = 8_000_000
+#: Texts are counted and scored in batches of so many bytes; each takes some 60 times that in arrays.
+GATHER_BYTES, SCORE_BYTES = 5_000_000, 1_000_000
 #: Words that travel to every task; all others are joined. A word is at most so long.
 HOT_WORDS, HOT_WORD_BYTES = 1 << 16, 64
 #: Codes that travel to every task, at most; slots to find them by, and codes looked up at a time.
@@ -370,7 +370,7 @@ def score(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
             for key, text, apart in zip(*(batch.column(i) for i in range(3)), strict=True):
                 held.append((key.as_py(), apart.as_py(), _bytes(text.as_py())))
                 size += len(held[-1][2])
-                if size >= GATHER_BYTES // 2:
+                if size >= SCORE_BYTES:
                     yield flush(held)
                     held, size = [], 0
         if held:

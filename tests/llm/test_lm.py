@@ -134,3 +134,10 @@ def test_scores_use_every_node(spark, monkeypatch, hot):
     for r in plain(rows, lm.DEPTH):
         assert got[r[0]]["score"] == pytest.approx(r[6], rel=1e-7, abs=1e-7)
         assert got[r[0]]["held_out"] == (zlib.crc32(str(r[0]).encode()) % 7 == 2)
+
+
+def test_scores_do_not_depend_on_the_batch(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"text {i % 3} of some words") for i in range(12)], "doc_id long, text string").coalesce(1)
+    want = sorted((r["doc_id"], round(r["score"], 9)) for r in lm.score(docs, 2).collect())
+    monkeypatch.setattr(lm, "SCORE_BYTES", 1)
+    assert sorted((r["doc_id"], round(r["score"], 9)) for r in lm.score(docs, 2).collect()) == want
