@@ -8,12 +8,14 @@ speaks for stopping here, worked out bottom-up over the whole training corpus. A
 score is the log probability of its bytes and an end mark; from it follows its code
 length per byte. Where a longer context was never seen, the mixture ends before it.
 
-Counting runs as map-side combined sums over all training texts, and the tree is built
-by one aggregation per context length. Codes of held-out texts take part with a count of
-0, so every code that a text has lies in the tree. Mixtures are then passed from short
-contexts to longer ones by one join per length, which leaves one log probability per
-code. The codes seen most often travel to every task; all others are joined. No node is
-left out, whatever the corpus.
+Counting runs as map-side combined sums over all training texts. Codes of held-out texts
+take part with a count of 0, so every code that a text has lies in the tree. Codes meet
+by the ``NEAR`` bytes before them; there the longer contexts' nodes are worked out, and
+only those of ``NEAR`` bytes go on to the shorter ones, by one aggregation per length.
+Mixtures are then passed from short contexts to longer ones by one join per length and
+to the same groups of codes, which leaves one log probability per code. The codes seen
+most often travel to every task; all others are joined. No node is left out, whatever the
+corpus.
 """
 
 from __future__ import annotations
@@ -38,6 +40,8 @@ GATHER_BYTES, SCORE_BYTES = 5_000_000, 1_000_000
 HOT_WORDS, HOT_WORD_BYTES = 1 << 16, 64
 #: Codes that travel to every task, at most; slots to find them by, and codes looked up at a time.
 HOT_CODES, SLOT_BITS, PIECE = 1 << 21, 22, 1 << 18
+#: Bytes of context by which codes meet, and rows of whole groups that are worked out at a time, about.
+NEAR, GROUP_ROWS = 3, 1 << 17
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -129,23 +133,21 @@ def _evidence() -> Column:
     return F.when(F.col("n0") + F.col("n1") == 0, F.lit(0.0)).otherwise(e)
 
 
-def _levels(counts: DataFrame, depth: int) -> list[DataFrame]:
-    """Nodes by context length, longest first: context, prefix, n0, n1, mixed, stop.
-
-    The longest also have the lowest and highest bit that follows, counted or not.
-    """
+def _longest(counts: DataFrame) -> DataFrame:
+    """Nodes of the longest contexts: context, prefix, n0, n1, mixed."""
     bits = counts.select("code", "n", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("b"))
     deep = bits.select(
         F.expr("shiftright(code, 8)").alias("context"),
         F.expr("shiftleft(1, b) + shiftright(code & 255, 8 - b)").cast("int").alias("prefix"),
         F.expr("shiftright(code, 7 - b) & 1").alias("bit"), "n",
     )
-    level = materialize(
-        deep.groupBy("context", "prefix").agg(F.sum(F.when(F.col("bit") == 0, F.col("n")).otherwise(0)).alias("n0"), F.sum(F.when(F.col("bit") == 1, F.col("n")).otherwise(0)).alias("n1"), F.min("bit").alias("low"), F.max("bit").alias("high"))
-        .withColumn("mixed", _evidence()).withColumn("stop", F.lit(1.0)),
-        "ctw-nodes",
-    )
-    levels = [level]
+    n0, n1 = (F.sum(F.when(F.col("bit") == k, F.col("n")).otherwise(0)).alias(f"n{k}") for k in (0, 1))
+    return deep.groupBy("context", "prefix").agg(n0, n1).withColumn("mixed", _evidence())
+
+
+def _levels(level: DataFrame, depth: int) -> list[DataFrame]:
+    """Nodes shorter than those of ``level`` (``depth`` bytes) by context length, longest first: context, prefix, n0, n1, mixed, stop."""
+    levels = []
     for d in range(depth - 1, -1, -1):
         shorter = F.col("context").bitwiseAND((1 << (8 * d)) - 1)
         summed = level.groupBy(shorter.alias("context"), "prefix").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), F.sum("mixed").alias("below"))
@@ -162,12 +164,13 @@ def tree(counts: DataFrame, depth: int = DEPTH) -> DataFrame:
 
     ``p1`` is the estimate for a 1, ``stop`` the weight of stopping at this node.
     """
+    longest = materialize(_longest(counts), "ctw-nodes")
     packed = [
         level.select(
             (F.lit((depth - i) << 56) + F.shiftleft("context", 8) + F.col("prefix")).cast("long").alias("node"), (F.col("n0") + F.col("n1")).alias("n"),
             ((F.col("n1") + 0.5) / (F.col("n0") + F.col("n1") + 1.0)).alias("p1"), "stop",
         )
-        for i, level in enumerate(_levels(counts, depth))
+        for i, level in enumerate([longest.withColumn("stop", F.lit(1.0)), *_levels(longest, depth)])
     ]
     nodes = packed[0]
     for p in packed[1:]:
@@ -175,60 +178,145 @@ def tree(counts: DataFrame, depth: int = DEPTH) -> DataFrame:
     return nodes
 
 
+_SMALL = 4096
+#: Log gamma of n + 1/2, less that of 1/2, and of n + 1.
+_HALVES, _WHOLES = (np.concatenate([[0.0], np.cumsum(np.log(np.arange(_SMALL) + x))]) for x in (0.5, 1.0))
+
+
+def _log_gammas(n: np.ndarray, small: np.ndarray, shift: float) -> np.ndarray:
+    out, large = small[np.minimum(n, _SMALL)], np.flatnonzero(n > _SMALL)
+    x = n[large] + shift
+    out[large] = (x - 0.5) * np.log(x) - x + 0.5 * math.log(2 * math.pi) + 1 / (12 * x) - 1 / (360 * x**3)
+    if shift < 1:
+        out[large] -= 0.5 * math.log(math.pi)
+    return out
+
+
+def _evidences(n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
+    """:func:`_evidence` of arrays of counts."""
+    return _log_gammas(n0, _HALVES, 0.5) + _log_gammas(n1, _HALVES, 0.5) - _log_gammas(n0 + n1, _WHOLES, 1.0)
+
+
+@dataclass
+class _Level:
+    """Nodes of one context length; ``at`` tells each longer node's (or code's) place among them."""
+
+    n0: np.ndarray
+    n1: np.ndarray
+    mixed: np.ndarray
+    stop: np.ndarray
+    at: np.ndarray
+
+
+def _starts(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    new = np.concatenate([[True], key[1:] != key[:-1]])
+    return np.flatnonzero(new), np.cumsum(new) - 1
+
+
+def _upwards(code: np.ndarray, n: np.ndarray, b: int, depth: int, near: int) -> tuple[np.ndarray, list[_Level]]:
+    """Decision ``b`` of whole groups of codes: keys of the nodes of ``near`` bytes, and the levels down from the longest to them."""
+    context = code >> 8
+    key = ((context & ((1 << (8 * near)) - 1)) << 8) + (1 << b) + ((code & 255) >> (8 - b))
+    for d in range(near, depth):
+        key = (key << 8) + ((context >> (8 * d)) & 255)
+    order = np.argsort(key)
+    key, n, bit = key[order], n[order], (code[order] >> (7 - b)) & 1
+    starts, place = _starts(key)
+    at = np.empty(len(code), np.int64)
+    at[order] = place
+    n0, n1 = np.add.reduceat(n * (1 - bit), starts), np.add.reduceat(n * bit, starts)
+    levels = [_Level(n0, n1, _evidences(n0, n1), np.ones(len(n0)), at)]
+    key = key[starts]
+    for _ in range(near, depth):
+        key = key >> 8
+        starts, at = _starts(key)
+        n0, n1, below = (np.add.reduceat(x, starts) for x in (levels[-1].n0, levels[-1].n1, levels[-1].mixed))
+        e = _evidences(n0, n1)
+        mixed = math.log(0.5) + np.logaddexp(e, below)
+        levels.append(_Level(n0, n1, mixed, np.exp(math.log(0.5) + e - mixed), at))
+        key = key[starts]
+    return key, levels
+
+
+def _whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+    """Columns of rows that come in the order of the first column, cut only where that one changes."""
+    held, size, enough = [], 0, GROUP_ROWS
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append([c.to_numpy(zero_copy_only=False) for c in batch.columns])
+        size += batch.num_rows
+        if size >= enough:
+            rows = [np.concatenate(c) for c in zip(*held, strict=True)]
+            cut = int(np.searchsorted(rows[0], rows[0][-1]))
+            if cut:
+                yield [c[:cut] for c in rows]
+            # The last group may go on in the next batch.
+            held, size = [[c[cut:].copy() for c in rows]], size - cut
+            enough = max(GROUP_ROWS, 2 * size)
+    if held:
+        yield [np.concatenate(c) for c in zip(*held, strict=True)]
+
+
 def code_logs(counts: DataFrame, depth: int = DEPTH) -> DataFrame:
     """code, n and log10 (log10 probability of the code's byte after its context) for every code.
 
-    From the root down, ``above`` is what shorter contexts add to the estimate for a 1
-    and ``rest`` the weight they leave; ``q`` is the mixture that ends at the node. A
-    node without counts has the mixture of the longest context that was counted.
+    ``counts`` is read twice. From the root down, ``above`` is what shorter contexts add
+    to the estimate for a 1 and ``rest`` the weight they leave; ``q`` is the mixture that
+    ends at the node. A node without counts has the mixture of the longest context that
+    was counted.
     """
+    near = min(NEAR, depth)
+    group = F.expr("shiftright(code, 8)").bitwiseAND((1 << (8 * near)) - 1).alias("near")
+
+    def up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, code, n in _whole_groups(batches):
+            for b in range(8):
+                key, levels = _upwards(code, n, b, depth, near)
+                top = levels[-1]
+                columns = (key >> 8, (key & 255).astype(np.int32), top.n0, top.n1, top.mixed)
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["context", "prefix", "n0", "n1", "mixed"])
+
+    coded = counts.select(group, "code", "n").repartition("near").sortWithinPartitions("near")
+    level = materialize(coded.mapInArrow(up, "context long, prefix int, n0 long, n1 long, mixed double"), "ctw-nodes")
     n0, n1 = F.col("n0"), F.col("n1")
     p1 = (n1 + 0.5) / (n0 + n1 + 1.0)
     down = None
-    for d, level in enumerate(reversed(_levels(counts, depth))):
+    for d, shorter in enumerate(reversed(_levels(level, near))):
         if down is None:
-            here = level.withColumn("above", F.lit(0.0)).withColumn("rest", F.lit(1.0)).withColumn("q", F.lit(0.5))
+            here = shorter.withColumn("above", F.lit(0.0)).withColumn("rest", F.lit(1.0)).withColumn("q", F.lit(0.5))
         else:
-            here = level.withColumn("_shorter", F.col("context").bitwiseAND((1 << (8 * (d - 1))) - 1)).join(down, ["_shorter", "prefix"])
+            here = shorter.withColumn("_shorter", F.col("context").bitwiseAND((1 << (8 * (d - 1))) - 1)).join(down, ["_shorter", "prefix"])
         here = here.withColumn("q", F.when(n0 + n1 > 0, F.col("above") + F.col("rest") * p1).otherwise(F.col("q")))
         down = here.select(
             F.col("context").alias("_shorter"), "prefix", "q", (F.col("above") + F.col("rest") * F.col("stop") * p1).alias("above"),
             (F.col("rest") * (1 - F.least("stop", F.lit(1.0)))).alias("rest"),
         )
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            rows = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(7)]
-            if held is not None:
-                rows = [np.concatenate(pair) for pair in zip(held, rows, strict=True)]
-            # The last context may go on in the next batch.
-            cut = int(np.searchsorted(rows[0], rows[0][-1]))
-            held = [x[cut:] for x in rows]
-            if cut:
-                yield _leaves(*[x[:cut] for x in rows])
-        if held is not None:
-            yield _leaves(*held)
-
-    deep = here.select("context", F.col("prefix").cast("long").alias("prefix"), "q", "n0", "n1", "low", "high")
-    return deep.repartition("context").sortWithinPartitions("context", "prefix").mapInArrow(work, "code long, n long, log10 double")
-
-
-def _leaves(context: np.ndarray, prefix: np.ndarray, q: np.ndarray, n0: np.ndarray, n1: np.ndarray, low: np.ndarray, high: np.ndarray) -> pa.RecordBatch:
-    """Codes of whole contexts, whose nodes come in order: the eight decisions of each byte multiplied."""
-    key = (context << 8) + prefix
-    ones, zeros, before = np.log10(q), np.log10(1 - q), np.zeros(len(key))
-    for b in range(1, 8):
-        at = np.flatnonzero(prefix >> b == 1)
-        parent = np.searchsorted(key, (context[at] << 8) + (prefix[at] >> 1))
-        before[at] = before[parent] + np.where(prefix[at] & 1, ones[parent], zeros[parent])
-    last = prefix >= 128
-    a, b = np.flatnonzero(last & (low == 0)), np.flatnonzero(last & (high == 1))
-    first = (context << 8) + 2 * prefix - 256
-    columns = (np.concatenate(x) for x in ((first[a], first[b] + 1), (n0[a], n1[b]), (before[a] + zeros[a], before[b] + ones[b])))
-    return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["code", "n", "log10"])
+    def on(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group, code, n, *passed in _whole_groups(batches):
+            given = code < 0
+            # A node's key is its context and prefix; rows of shorter contexts have the prefix as a negative code.
+            keys = (group[given] << 8) - code[given]
+            order = np.argsort(keys)
+            keys, passed = keys[order], [x[given][order] for x in passed]
+            code, n, log10 = code[~given], n[~given], np.zeros(int((~given).sum()))
+            for b in range(8):
+                key, levels = _upwards(code, n, b, depth, near)
+                q, above, rest = (x[np.searchsorted(keys, key)] for x in passed)
+                for i, here in reversed(list(enumerate(levels))):
+                    p = (here.n1 + 0.5) / (here.n0 + here.n1 + 1.0)
+                    q = np.where(here.n0 + here.n1 > 0, above + rest * p, q)[here.at]
+                    if i:
+                        above, rest = (above + rest * here.stop * p)[here.at], (rest * (1 - np.minimum(here.stop, 1.0)))[here.at]
+                log10 += np.log10(np.where(code >> (7 - b) & 1, q, 1 - q))
+            yield pa.RecordBatch.from_arrays([pa.array(code), pa.array(n), pa.array(log10)], names=["code", "n", "log10"])
+
+    nothing = F.lit(0.0)
+    shorter = level.select("context", "prefix", F.col("context").bitwiseAND((1 << (8 * (near - 1))) - 1).alias("_shorter"))
+    given = shorter.join(down, ["_shorter", "prefix"]).select(F.col("context").alias("near"), (-F.col("prefix")).cast("long").alias("code"), F.lit(0).cast("long").alias("n"), "q", "above", "rest")
+    rows = counts.select(group, "code", "n", nothing.alias("q"), nothing.alias("above"), nothing.alias("rest")).unionByName(given)
+    return rows.repartition("near").sortWithinPartitions("near").mapInArrow(on, "code long, n long, log10 double")
 
 
 def _hash(codes: np.ndarray) -> np.ndarray:

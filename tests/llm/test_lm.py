@@ -141,3 +141,35 @@ def test_scores_do_not_depend_on_the_batch(spark, monkeypatch):
     want = sorted((r["doc_id"], round(r["score"], 9)) for r in lm.score(docs, 2).collect())
     monkeypatch.setattr(lm, "SCORE_BYTES", 1)
     assert sorted((r["doc_id"], round(r["score"], 9)) for r in lm.score(docs, 2).collect()) == want
+
+
+@pytest.mark.parametrize("near, rows", [(1, 1), (2, 1 << 17), (5, 100)])
+def test_tree_does_not_depend_on_the_groups(spark, monkeypatch, near, rows):
+    monkeypatch.setattr(lm, "NEAR", near)
+    monkeypatch.setattr(lm, "GROUP_ROWS", rows)
+    texts = ["the cat sat on the mat", "The dog sat", "", "\u00e9t\u00e9 \u00e0 la mer", "x" * 400, "x" * 9000, "a\0b"]
+    compare(spark.createDataFrame(list(enumerate(texts * 2)), "doc_id long, text string"), lm.DEPTH)
+
+
+def test_only_short_contexts_are_written_down(spark, monkeypatch):
+    """The nodes of all lengths took eight times the codes' rows, and more disk than a small input has."""
+    written = Counter()
+
+    def counted(df, label):
+        out = materialize(df, label)
+        written[label] += out.count()
+        return out
+
+    materialize = lm.materialize
+    monkeypatch.setattr(lm, "materialize", counted)
+    lm.score(spark.read.parquet("/root/testdata/sf0.001/documents.parquet")).count()
+    assert written["lm-contexts"] == written["lm-codes"] > 0
+    assert written["ctw-nodes"] < 2 * written["lm-contexts"]
+
+
+def test_evidence_of_large_counts():
+    import numpy as np
+
+    n0, n1 = np.array([0, 5, 4096, 4097, 10**6]), np.array([0, 0, 3, 5000, 7])
+    want = [math.lgamma(a + 0.5) + math.lgamma(b + 0.5) - math.lgamma(a + b + 1) - math.log(math.pi) for a, b in zip(n0.tolist(), n1.tolist(), strict=True)]
+    assert lm._evidences(n0, n1) == pytest.approx(want, abs=1e-7)
